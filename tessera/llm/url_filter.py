@@ -43,7 +43,7 @@ class Level:
         found = F.lit(True)
         for place in places(key, len(self.words) * 64, self.hashes, self.salt):
             word = F.get(bits, F.floor(place / 64).cast("int"))
-            found = found & (F.shiftrightunsigned(word, (place % 64).cast("int")).bitwiseAND(F.lit(1)) == 1)
+            found = found & (F.getbit(word, (place % 64).cast("int")) == 1)
         return found
 
 
@@ -59,7 +59,7 @@ def level(keys: DataFrame, n: int, rate: float, salt: int) -> Level:
     rows = (
         keys.select(at.alias("at"))
         .groupBy(F.floor(F.col("at") / 64).cast("int").alias("word"))
-        .agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))).alias("bits"))
+        .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))).alias("bits"))
         .collect()
     )
     bits = {r["word"]: r["bits"] for r in rows}
