@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing, quality, sharding, url_filter
+from tessera.llm import mixing, quality, sharding, simhash, url_filter
 from tessera.llm.common import table
 
 URL_RULES = {
@@ -32,9 +32,13 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.group(table(spark, sf_dir, "documents"), radius=3, shingle=3)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"), MIX_WEIGHTS)
     return out.select("doc_id", "source", "rate", "copies", "copy", "order_key")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_sharding, op4_quality_rules, op7_mixing)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_sharding, op4_quality_rules, op5_simhash, op7_mixing)}
