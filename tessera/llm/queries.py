@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing, quality, sharding, simhash, url_filter
+from tessera.llm import langid, mixing, quality, sharding, simhash, toxicity, url_filter
 from tessera.llm.common import table
 
 URL_RULES = {
@@ -41,4 +41,15 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "rate", "copies", "copy", "order_key")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_sharding, op4_quality_rules, op5_simhash, op7_mixing)}
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs)).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted", "spans")
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_sharding, op4_quality_rules, op5_simhash, op7_mixing, op8_language_id, op10_toxicity)}
