@@ -96,4 +96,13 @@ SELECT doc_id, source, rate, copies, copy::INTEGER AS copy, md5(concat_ws('|', '
 FROM counted, unnest(range(copies)) u(copy)
 """
 
-ORACLES = {"op1_url_filter": OP1, "op2_sharding": OP2, "op4_quality_rules": OP4, "op7_mixing": OP7}
+OP3 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+    WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0 AND len(embedding) > 0 AND vec_id IS NOT NULL),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+    FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v))
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
+"""
+
+ORACLES = {"op1_url_filter": OP1, "op2_sharding": OP2, "op3_topk": OP3, "op4_quality_rules": OP4, "op7_mixing": OP7}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import langid, mixing, quality, sharding, simhash, toxicity, url_filter
+from tessera.llm import langid, mixing, quality, sentencepieces, sharding, simhash, topk, toxicity, url_filter
 from tessera.llm.common import table
 
 URL_RULES = {
@@ -28,6 +28,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), 16)
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.whole(table(spark, sf_dir, "embeddings"))
+    return topk.search(vectors, vectors.where(F.col("vec_id") % 20 == 0), 20)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -36,6 +41,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.group(table(spark, sf_dir, "documents"), radius=3, shingle=3)
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = sentencepieces.encode(docs)
+    return out.select("doc_id", "ids", "n_tokens", "n_byte_pieces", F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"), MIX_WEIGHTS)
     return out.select("doc_id", "source", "rate", "copies", "copy", "order_key")
@@ -52,4 +63,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted", "spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_sharding, op4_quality_rules, op5_simhash, op7_mixing, op8_language_id, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_sharding, op3_topk, op4_quality_rules, op5_simhash, op6_sentencepiece, op7_mixing, op8_language_id, op10_toxicity)}
