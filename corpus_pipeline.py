@@ -1,2 +1,77 @@
+"""A training-corpus pipeline over ``documents``: five stages, each one operator.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as
+the next stage's ``docs``. All but the last return exactly the columns of their input, so
+null ids and texts, repeated rows, empty tables and further columns pass as each operator
+documents.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import langid, mixing, sentencepieces, simhash, toxicity
+from tessera.llm.common import table, written
+from tessera.llm.queries import MIX_WEIGHTS
+
+#: No SQL: the stages score with trained models and hash sketches. Tested against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir): ...
+#: A text is rejected below this posterior, or where its best language needs a byte a byte.
+MIN_SCORE, MAX_BITS = 0.5, 8.0
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts in a learnt language; rejects null, letterless, ambiguous and incompressible ones."""
+    shared = spark.sparkContext.broadcast(langid.train(docs))
+
+    @F.pandas_udf("boolean")
+    def fine(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in texts:
+            found = langid.predict([None if t is None else t for t in part], shared.value)
+            yield pd.Series([lang != langid.UNKNOWN and score >= MIN_SCORE and bits < MAX_BITS for lang, score, bits in found], dtype=bool)
+
+    return docs.where(fine("text"))
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts that the tagger scores below one half; a null text counts as an empty one."""
+    shared = spark.sparkContext.broadcast(toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+    @F.pandas_udf("boolean")
+    def fine(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in texts:
+            yield pd.Series([score < 0.5 for score, _ in toxicity.tag(list(part), shared.value)], dtype=bool)
+
+    return docs.where(fine("text"))
+
+
+def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates on five-word shingles."""
+    return simhash.deduplicate(docs, radius=3, shingle=5)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated towards the target weights of their sources, in random order."""
+    return mixing.mix(docs, MIX_WEIGHTS).select(*docs.columns)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, ids, n_tokens) of every remaining row."""
+    return sentencepieces.encode(docs).select("doc_id", "ids", "n_tokens")
+
+
+STAGES = [("language_id", language), ("toxicity", toxic), ("simhash_dedup", deduplicated), ("mixing", mixed), ("sentencepiece", encoded)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``, each written before the next."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = written(docs)
+    return docs

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import langid, mixing, quality, sentencepieces, sharding, simhash, topk, toxicity, url_filter
+from tessera.llm import html_text, langid, mixing, quality, sentencepieces, sharding, simhash, topk, toxicity, url_filter
 from tessera.llm.common import table
 
 URL_RULES = {
@@ -57,10 +57,14 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.train(docs)).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted", "spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_sharding, op3_topk, op4_quality_rules, op5_simhash, op6_sentencepiece, op7_mixing, op8_language_id, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_sharding, op3_topk, op4_quality_rules, op5_simhash, op6_sentencepiece, op7_mixing, op8_language_id, op9_html_text, op10_toxicity)}

@@ -163,7 +163,7 @@ def token_labels(docs: list[tuple[int, list[str]]]) -> set[str]:
     return {w for w, c in per[1].items() if c >= LEAST_DOCS and c / n[1] > RATIO * (per[0][w] + 0.5) / n[0]}
 
 
-def fit(pairs: list[tuple[int, str]], steps: int = 30) -> Model:
+def fit(pairs: list[tuple[int, str]], steps: int = 45) -> Model:
     """The model of (label, text) pairs: penalised likelihood by Adam, then the document curve."""
     docs = [(int(y), split(t)) for y, t in pairs]
     lexicon = token_labels(docs)
