@@ -75,7 +75,15 @@ _UNESCAPES = {"t": "\t", "b": "\b", "n": "\n", "r": "\r", "f": "\f", '"': '"', "
 def unescape(text: str) -> str:
     if "\\" not in text:
         return text
-    return re.sub(r"\\(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|(.))", lambda m: chr(int(m[1] or m[2], 16)) if m[1] or m[2] else _UNESCAPES[m[3]], text, flags=re.S)
+
+    def plain(m: re.Match) -> str:
+        if m[1] or m[2]:
+            return chr(int(m[1] or m[2], 16))
+        if m[3] not in _UNESCAPES:
+            raise ValueError(f"bad escape {m[0]!r}")
+        return _UNESCAPES[m[3]]
+
+    return re.sub(r"\\(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|(.))", plain, text, flags=re.S)
 
 
 def nt(t: object) -> str:
