@@ -35,7 +35,7 @@ add("filter_logic", """SELECT ?o ?p ?s WHERE { ?o :o_totalprice ?p ; :o_ordersta
     "SELECT 'http://example.org/orders/' || o_orderkey AS o, o_totalprice AS p, o_orderstatus AS s FROM orders WHERE (o_totalprice > 100000 AND o_orderstatus IN ('O', 'F')) OR NOT (o_totalprice >= 2000)")
 add("optional_left", """SELECT ?c ?bal ?o WHERE { ?c :c_acctbal ?bal OPTIONAL { ?o :customer ?c ; :o_totalprice ?p FILTER(?p > 200000 && ?bal > 0) } }""",
     "SELECT 'http://example.org/customer/' || c_custkey AS c, c_acctbal AS bal, 'http://example.org/orders/' || o_orderkey AS o FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 200000 AND c_acctbal > 0")
-add("optional_unbound_join", """SELECT ?d ?q ?y WHERE { ?d :documents_lang "de" OPTIONAL { ?l :labelled ?d ; :quality ?q } { ?x :r_regionkey ?y . BIND(1 AS ?one) } FILTER(?y < 2) }""",
+add("optional_unbound_join", """SELECT ?d ?q ?y WHERE { ?d :lang "de" OPTIONAL { ?l :labelled ?d ; :quality ?q } { ?x :r_regionkey ?y . BIND(1 AS ?one) } FILTER(?y < 2) }""",
     "SELECT 'http://example.org/documents/' || d.doc_id AS d, l.quality::BIGINT AS q, r_regionkey::BIGINT AS y FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id, region WHERE lang = 'de' AND r_regionkey < 2".replace("documents_lang", "lang"))
 add("union_bag", """SELECT ?n ?m WHERE { { ?x :n_name ?n } UNION { ?y :r_name ?m } }""",
     "SELECT n_name AS n, NULL::VARCHAR AS m FROM nation UNION ALL SELECT NULL, r_name FROM region")

@@ -27,7 +27,6 @@ from tessera.functions.values import (
     Val,
     constant_term,
     equal,
-    exact,
     from_term,
     instant,
     less,
@@ -41,6 +40,7 @@ from tessera.functions.values import (
     text_of_number,
     truth,
 )
+from tessera.functions.values import exact as _exact
 from tessera.plans import algebra as A
 from tessera.plans.parser import resolve
 from tessera.terms import CDT, INTEGERS, NUMERIC, STRING, XSD
@@ -210,8 +210,8 @@ class Expressions:
     def _same_type(self, x: Val, f: Callable[[Column], Column]) -> Val:
         if x.kind in NUMBERS:
             return Val(x.kind, f(x.col).cast(SPARK[x.kind]))
-        out = F.when(rank(x) == 1, f(exact(x)).cast("bigint").cast("string"))
-        out = out.when(rank(x) == 2, text_of_number(f(exact(x)).cast(SPARK[DEC]), DEC)).when(rank(x) > 2, text_of_number(f(number(x)).cast("double"), DBL))
+        out = F.when(rank(x) == 1, f(_exact(x)).cast("bigint").cast("string"))
+        out = out.when(rank(x) == 2, text_of_number(f(_exact(x)).cast(SPARK[DEC]), DEC)).when(rank(x) > 2, text_of_number(f(number(x)).cast("double"), DBL))
         return Val(TERM, R.struct(R.LITERAL, out, F.when(rank(x) == 1, XSD + "integer").otherwise(lift(x)["dt"])))
 
     def f_abs(self, x: Val) -> Val:
@@ -405,6 +405,7 @@ class Expressions:
         if to == "string":
             return Val(STR, lexical(x))
         n, b = number(x), x.col if x.kind == BOOL else None
+        exact = _exact if x.kind in (INT, DEC, TERM) else lambda _: F.lit(None).cast(SPARK[DEC])
         if x.kind == TERM:
             b = F.when((x.col["dt"] == XSD + "boolean"), x.col["v"].isin("true", "1"))
             text = F.when(x.col["k"] == R.LITERAL, text)
@@ -457,7 +458,7 @@ def arithmetic(op: str, a: Val, b: Val) -> Val:
         return Val(kind, _apply(op, x, y, kind))
     top = F.greatest(rank(a), rank(b))
     top = F.when(rank(a).isNotNull() & rank(b).isNotNull(), F.when((top == 1) & F.lit(op == "/"), 2).otherwise(top))
-    whole = _apply(op, exact(a), exact(b), DEC)
+    whole = _apply(op, _exact(a), _exact(b), DEC)
     real = _apply(op, number(a), number(b), DBL)
     text = F.when(top == 1, whole.cast("decimal(38,0)").cast("string")).when(top == 2, text_of_number(whole, DEC)).when(top > 2, text_of_number(real, DBL))
     dt = F.when(top == 1, XSD + "integer").when(top == 2, XSD + "decimal").when(top == 3, XSD + "float").otherwise(XSD + "double")

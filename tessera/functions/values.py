@@ -87,6 +87,8 @@ def exact(v: Val) -> Column:
     """The value of an integer or decimal as decimal(38,18)."""
     if v.kind in (INT, DEC):
         return v.col.cast(SPARK[DEC])
+    if v.kind != TERM:
+        return F.lit(None).cast(SPARK[DEC])
     return F.when((v.col["k"] == R.LITERAL) & v.col["dt"].isin([*INTEGERS, XSD + "decimal"]), v.col["v"].try_cast(SPARK[DEC]))
 
 

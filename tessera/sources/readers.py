@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,13 +49,11 @@ def unescaped(v: Column) -> Column:
 
 def _decoded(v: Column) -> Column:
     """\\u escapes by an Arrow UDF over the few texts that have one."""
-    import pandas as pd
+    return F.pandas_udf(_unescape_all, "string")(v)
 
-    @F.pandas_udf("string")
-    def decode(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: R.unescape(x) if isinstance(x, str) else x)
 
-    return decode(v)
+def _unescape_all(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: R.unescape(x) if isinstance(x, str) else x)
 
 
 def term_column(text: Column, scope: Column, uescapes: bool) -> Column:
