@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,8 +63,8 @@ def operation(data, op: A.Node) -> DataFrame:
             from tessera.sources.readers import read
 
             try:
-                loaded = read(data.spark, url)
-            except (OSError, ValueError) as e:
+                loaded = cut(read(data.spark, url))
+            except (OSError, ValueError, PySparkException) as e:
                 if silent:
                     return quads
                 raise UpdateError(f"can't load <{url}>: {e}") from e
