@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import small_batches
+
 #: Where the public model lies; a parameter of every entry point.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARKER = "▁"
 UNKNOWN_COST = 10.0
 #: Words a worker remembers, and the longest remembered (characters).
-CACHE, CACHED_CHARS = 200_000, 64
+CACHE, CACHED_CHARS = 100_000, 40
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -80,20 +83,9 @@ class DoubleArray:
                 t = at + k + 1
                 free[t], check[t] = False, state
                 todo.append((t, items, depth + 1))
-        end = int(np.flatnonzero(~free)[-1]) + 1
+        end = int(np.flatnonzero(~free)[-1]) + 258  # a step from any state stays inside
         self.base, self.check, self.value = base[:end].tolist(), check[:end].tolist(), value[:end].tolist()
 
-    def prefixes(self, text: bytes, at: int) -> Iterator[tuple[int, int]]:
-        """(end, key number) of each key that ``text`` has at ``at``, shortest first."""
-        state, base, check, value, n = 0, self.base, self.check, self.value, len(self.check)
-        for i in range(at, len(text)):
-            t = base[state] + text[i] + 1
-            if t >= n or check[t] != state:
-                return
-            state = t
-            if value[t] >= 0:
-                yield i + 1, value[t]
-
 
 @dataclass
 class Model:
@@ -114,6 +106,7 @@ class Model:
         self.unknown = self.kinds.index(UNKNOWN)
         self.bytes = {int(self.pieces[i][1:-1], 16): i for i, k in enumerate(self.kinds) if k == BYTE}
         self.unknown_score = min([self.scores[i] for i in usable if self.kinds[i] == NORMAL], default=0.0) - UNKNOWN_COST
+        self.spelt = [self.spell(i) for i in range(len(self.pieces))]
         self.chunk = re.compile(f"{MARKER}*[^{MARKER}]+|{MARKER}+") if self.by_word else re.compile(r"(?s).+")
 
     @staticmethod
@@ -128,26 +121,42 @@ class Model:
             raise ValueError("only models with the identity normalisation are supported")
         return Model([p.piece for p in proto.pieces], [p.score for p in proto.pieces], [p.type for p in proto.pieces], spec.add_dummy_prefix)
 
+    def spell(self, i: int) -> bytes:
+        """The bytes a piece stands for."""
+        kind = self.kinds[i]
+        if kind == BYTE:
+            return bytes([int(self.pieces[i][1:-1], 16)])
+        if kind == CONTROL:
+            return b""
+        return " ⁇ ".encode() if kind == UNKNOWN else self.pieces[i].replace(MARKER, " ").encode()
+
     def path(self, chunk: str) -> tuple[int, ...]:
         """The ids of the best path through one chunk. Of equal paths the earlier start wins."""
         raw = chunk.encode("utf-8", "surrogatepass")
         n, low = len(raw), float("-inf")
         best, come, piece = [low] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
         best[0] = 0.0
-        scores, prefixes = self.scores, self.trie.prefixes
+        scores, base, check, value = self.scores, self.trie.base, self.trie.check, self.trie.value
         for at in range(n):
-            if best[at] == low:
+            here = best[at]
+            if here == low:
                 continue
             lead = raw[at]
-            width = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
-            single = False
-            for end, i in prefixes(raw, at):
-                total = best[at] + scores[i]
-                if total > best[end]:
-                    best[end], come[end], piece[end] = total, at, i
-                single = single or end == at + width
-            if not single and best[at] + self.unknown_score > best[at + width]:
-                best[at + width], come[at + width], piece[at + width] = best[at] + self.unknown_score, at, -1
+            after = at + (1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4)
+            single, state, end = False, 0, at
+            while end < n:  # one walk through the trie finds every piece that starts here
+                t = base[state] + raw[end] + 1
+                if check[t] != state:
+                    break
+                state, end = t, end + 1
+                i = value[t]
+                if i >= 0:
+                    if here + scores[i] > best[end]:
+                        best[end], come[end], piece[end] = here + scores[i], at, i
+                    if end == after:
+                        single = True
+            if not single and here + self.unknown_score > best[after]:
+                best[after], come[after], piece[after] = here + self.unknown_score, at, -1
         ids: list[int] = []
         at = n
         while at:
@@ -183,16 +192,7 @@ class Model:
 
         The marker put in front is taken off. Ids cut out of the middle of a character give U+FFFD.
         """
-        out = bytearray()
-        for i in ids:
-            kind = self.kinds[i]
-            if kind == BYTE:
-                out.append(int(self.pieces[i][1:-1], 16))
-            elif kind == UNKNOWN:
-                out += " ⁇ ".encode()
-            elif kind != CONTROL:
-                out += self.pieces[i].replace(MARKER, " ").encode()
-        text = out.decode("utf-8", "replace")
+        text = b"".join([self.spelt[i] for i in ids]).decode("utf-8", "replace")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
@@ -203,17 +203,22 @@ def encode(docs: DataFrame, model: Model | None = None, key: str = "doc_id", tex
     back: the text itself, but for a U+2581 in it, which decodes to a blank. Repeated rows come as
     often as they are; an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model or Model.load())
     slim = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     kind = dict(slim.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        coded = {i for i, k in enumerate(m.kinds) if k == BYTE}
+        coded = np.array([k == BYTE for k in m.kinds])
         for b in batches:
             ids = [m.encode(t) for t in b.column(1).to_pylist()]
+            counts = np.array([len(x) for x in ids], np.int32)
+            flat = np.fromiter(chain.from_iterable(ids), np.int32, int(counts.sum()))
+            starts = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+            bytes_before = np.concatenate([[0], np.cumsum(coded[flat])])
             yield pa.record_batch(
-                [b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int32()), pa.array([sum(i in coded for i in x) for x in ids], pa.int32()), pa.array([m.decode(x) for x in ids], pa.string())],
+                [b.column(0), pa.ListArray.from_arrays(pa.array(starts), pa.array(flat)), pa.array(counts), pa.array(np.diff(bytes_before[starts]).astype(np.int32)), pa.array([m.decode(x) for x in ids], pa.string())],
                 names=["doc_id", "ids", "n_tokens", "n_byte_pieces", "decoded"],
             )
 
