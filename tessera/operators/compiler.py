@@ -66,8 +66,8 @@ class Compiler:
                 return rel.join(self.compile(a, graph, seed), self.compile(b, graph))
             case A.LeftJoin(a, b, condition):
                 return self.left_join(self.compile(a, graph, seed), b, condition, graph)
-            case A.Union(a, b):
-                return rel.union(self.compile(a, graph, seed), self.compile(b, graph, seed))
+            case A.Union():
+                return rel.union(*[self.compile(x, graph, seed) for x in _branches(n)])
             case A.Minus(a, b):
                 return rel.minus(self.compile(a, graph, seed), self.compile(b, graph))
             case A.Filter(c, e):
@@ -149,7 +149,7 @@ class Compiler:
         found = [self.scan(t, s, triples, graph) for t in tables]
         if self.data.quads is not None:
             found.append(reduce(rel.join, [self.quad(t, graph, mapped=False) for t in triples]))
-        return reduce(rel.union, found)
+        return rel.union(*found)
 
     def scan(self, t: TableMap, s: object, triples: list[Triple], graph: object) -> Relation:
         columns, refs = t.columns(), t.references()
@@ -482,6 +482,10 @@ def _freedom(t: Triple) -> int:
     return 4 * bool(A.variables_of(t.s)) + 2 * bool(A.variables_of(t.o)) + 3 * isinstance(t.p, Var) + (t.p == R.Iri(TYPE))
 
 
+def _branches(n: A.Node) -> list[A.Node]:
+    return [*_branches(n.left), *_branches(n.right)] if isinstance(n, A.Union) else [n]
+
+
 def _conjuncts(e: A.Node) -> list[A.Node]:
     if isinstance(e, A.Call) and e.op == "&&":
         return [x for a in e.args for x in _conjuncts(a)]

@@ -140,23 +140,29 @@ def _split(left: Relation, right: Relation, shared: list[str]) -> Relation:
         pieces.append(join(part(left, False), right))
     if right.vars[n].maybe:
         pieces.append(join(part(left, True), part(right, False)))
-    return reduce(union, pieces)
+    return union(*pieces)
 
 
-def union(a: Relation, b: Relation) -> Relation:
-    """All solutions of both (a bag)."""
-    a, b = unify(a, b, [n for n in a.vars if n in b.vars])
-    names = list(dict.fromkeys([*a.vars, *b.vars]))
+def union(*relations: Relation) -> Relation:
+    """All solutions of all relations (a bag), as one flat union."""
+    names = list(dict.fromkeys(n for r in relations for n in r.vars))
+    parts = list(relations)
     out = {}
     for n in names:
-        x = a.vars.get(n) or b.vars[n]
-        out[n] = replace(x, name=new_name(), maybe=n not in a.vars or n not in b.vars or a.vars[n].maybe or b.vars[n].maybe)
-
-    def side(r: Relation, other: Relation) -> DataFrame:
-        types = dict(other.df.dtypes)
-        return r.df.select(*[(r.vars[n].col if n in r.vars else F.lit(None).cast(types[other.vars[n].name])).alias(out[n].name) for n in names])
-
-    return Relation(side(a, b).unionByName(side(b, a)), out)
+        having = [r.vars[n] for r in parts if n in r.vars]
+        if any(not b.like(having[0]) for b in having):
+            if all(b.kind == IRI for b in having):
+                parts = [r.with_var(n, Val(IRI, r.vars[n].val.col), r.vars[n].maybe) if n in r.vars and r.vars[n].prefix is not None else r for r in parts]
+            else:
+                parts = [r.lifted([n]) if n in r.vars else r for r in parts]
+        having = [r.vars[n] for r in parts if n in r.vars]
+        out[n] = replace(having[0], name=new_name(), maybe=len(having) < len(parts) or any(b.maybe for b in having))
+    types = {}
+    for n in names:
+        r = next(r for r in parts if n in r.vars)
+        types[n] = r.df.schema[r.vars[n].name].dataType
+    frames = [r.df.select(*[(r.vars[n].col if n in r.vars else F.lit(None).cast(types[n])).alias(out[n].name) for n in names] or [F.lit(1).alias("unit")]) for r in parts]
+    return Relation(reduce(DataFrame.union, frames), out)
 
 
 def minus(left: Relation, right: Relation) -> Relation:
