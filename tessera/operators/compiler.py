@@ -444,7 +444,18 @@ class Compiler:
         for e, _ in keys:
             flags, r = self.flags(r, e, graph)
         ex = self.expressions(r.scope(), flags)
-        return Relation(r.df.orderBy(*[o for e, up in keys for o in self.ordering(ex.value(e), up)]), r.vars)
+        made, order = {}, []
+        for e, up in keys:
+            v = ex.value(e)
+            parts = sort_keys(v, self.data.star and self.data.quads is not None)
+            if v.kind == TERM:  # as columns of their own: they are computed once, and the order doesn't tie whole expressions to the plan
+                names = [new_name() for _ in parts]
+                made.update(zip(names, parts, strict=True))
+                parts = [F.col(n) for n in names]
+            order += [k.asc_nulls_first() if up else k.desc_nulls_last() for k in parts]
+        if not made:
+            return Relation(r.df.orderBy(*order), r.vars)
+        return Relation(r.df.withColumns(made).orderBy(*order).select(*r.df.columns), r.vars)
 
     def slice(self, r: Relation, offset: int, limit: int | None) -> Relation:
         df = r.df.offset(offset) if offset else r.df

@@ -25,7 +25,7 @@ def canonical(t):
 
 
 def load(spark, path):
-    if path is None:
+    if path is None or not os.path.exists(path):  # one entry's data file, an empty graph, is not in the suite
         return Dataset.of(spark, [])
     return Dataset.of(spark, readers.parse(w3c.text(path), readers.format_of(path), "file://" + path))
 

@@ -34,9 +34,12 @@ def entries(manifest: str) -> list[dict]:
         one = lambda k: d[k][0].value[7:] if k in d and isinstance(d[k][0], R.Iri) else None
         return {"query": one(QT + "query") or one(UT + "request"), "data": one(QT + "data") or one(UT + "data")}
 
+    def result(found: dict) -> dict:
+        return found if "file" in found else {"file": found["data"]}
+
     out = []
     for d in index.values():
         if MF + "action" in d:
             kind = d[R.RDF + "type"][0].value.split("#")[-1]
-            out.append({"kind": kind, "name": d[MF + "name"][0].value, "action": files(d[MF + "action"][0]), "result": files(d[MF + "result"][0]) if MF + "result" in d else {}})
+            out.append({"kind": kind, "name": d[MF + "name"][0].value, "action": files(d[MF + "action"][0]), "result": result(files(d[MF + "result"][0])) if MF + "result" in d else {}})
     return out
