@@ -110,13 +110,13 @@ class Expressions:
             return Val(BOOL, self.value(args[0]).col.isNotNull())
         v = [self.value(a) for a in args]
         if op == "=":
-            return Val(BOOL, equal(*v, star=self.star))
+            return Val(BOOL, self.equal(*v))
         if op == "!=":
-            return Val(BOOL, ~equal(*v, star=self.star))
+            return Val(BOOL, ~self.equal(*v))
         if op in ("<", "<="):
-            return Val(BOOL, less(v[0], v[1], op == "<=", self.star))
+            return Val(BOOL, self.less(v[0], v[1], op == "<="))
         if op in (">", ">="):
-            return Val(BOOL, less(v[1], v[0], op == ">=", self.star))
+            return Val(BOOL, self.less(v[1], v[0], op == ">="))
         if op == "IN":
             return Val(BOOL, self.within(v[0], v[1:]))
         if op in ("+", "-", "*", "/"):
@@ -135,12 +135,30 @@ class Expressions:
             return Val(both[0].kind, F.coalesce(*[x.col for x in both]))
         return getattr(self, f"f_{op.lower()}")(*v)
 
+    def registered(self, a: Val, b: Val, compare: Callable[[Column, Column], Column], other: Column) -> Column:
+        """A comparison by a registered datatype where both operands have it."""
+        if TERM not in (a.kind, b.kind) or not self.registry.datatypes:
+            return other
+        x, y = constant_term(a), constant_term(b)
+        out = None
+        for iri, value in self.registry.datatypes.items():
+            both = (x["dt"] == iri) & (y["dt"] == iri)
+            got = compare(value(x["v"]), value(y["v"]))
+            out = F.when(both, got) if out is None else out.when(both, got)
+        return out.otherwise(other)
+
+    def equal(self, a: Val, b: Val) -> Column:
+        return self.registered(a, b, lambda x, y: x == y, equal(a, b, self.star))
+
+    def less(self, a: Val, b: Val, or_equal: bool) -> Column:
+        return self.registered(a, b, (lambda x, y: x <= y) if or_equal else (lambda x, y: x < y), less(a, b, or_equal, self.star))
+
     def within(self, x: Val, options: list[Val]) -> Column:
         if not options:
             return F.lit(False)
         if x.kind in (INT, STR) and all(o.kind == x.kind and o.constant is not None for o in options):
             return x.col.isin([int(o.constant.value) if x.kind == INT else o.constant.value for o in options])
-        return reduce(lambda a, b: a | b, [equal(x, o, self.star) for o in options])
+        return reduce(lambda a, b: a | b, [self.equal(x, o) for o in options])
 
     def f_str(self, x: Val) -> Val:
         return Val(STR, x.col if x.kind == STR else lexical(x))

@@ -20,7 +20,7 @@ from tessera.terms import Triple, Var
 
 def parsed(data, text: str | A.Query) -> A.Query:
     q = parse_query(text, data.base, set(data.registry.aggregates)) if isinstance(text, str) else text
-    return rewrite(q)
+    return rewrite(q) if data.optimize else q
 
 
 def focused(data, q: A.Query):

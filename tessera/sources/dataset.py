@@ -23,7 +23,8 @@ class Dataset:
 
     ``quads`` has columns s, p, o, g (s and o TERM, p and g IRIs as text, g null in the default graph).
     ``default_graphs`` makes named graphs the default one (FROM); ``named_graphs`` limits GRAPH.
-    ``endpoints`` maps SERVICE IRIs to datasets. ``star`` says whether quoted triples can occur.
+    ``endpoints`` maps SERVICE IRIs to datasets. ``star`` says whether quoted triples can occur. With
+    ``optimize`` off, queries are compiled as they are written (for differential tests).
     """
 
     spark: SparkSession
@@ -35,6 +36,13 @@ class Dataset:
     star: bool = True
     default_graphs: tuple[str, ...] | None = None
     named_graphs: tuple[str, ...] | None = None
+    optimize: bool = True
+
+    @staticmethod
+    def of_graphs(spark: SparkSession, graphs: dict[str | None, DataFrame], **options) -> Dataset:
+        """From a frame of (s, p, o) triples for each graph; None is the default graph."""
+        frames = [df.select("s", "p", "o", F.lit(g).cast("string").alias("g")) for g, df in graphs.items()]
+        return Dataset(spark, reduce(DataFrame.unionByName, frames), **options)
 
     @staticmethod
     def of(spark: SparkSession, quads: Iterable[tuple], **options) -> Dataset:

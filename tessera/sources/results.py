@@ -160,3 +160,15 @@ def json_lines(terms: DataFrame) -> DataFrame:
         return F.when(c.isNotNull(), F.struct(kind.alias("type"), c["v"].alias("value"), datatype.alias("datatype"), c["lang"].alias("xml:lang")))
 
     return terms.select(F.to_json(F.struct(*[term(F.col(n)).alias(n) for n in terms.columns])).alias("value"))
+
+
+def negotiate(accept: str, media: dict[str, str] = MEDIA, default: str = "srj") -> str:
+    """The format an HTTP Accept header prefers among those of ``media`` (media type to format)."""
+    best, best_q = None, 0.0
+    for part in accept.split(","):
+        kind, *parameters = [x.strip() for x in part.split(";")]
+        q = next((float(p[2:]) for p in parameters if p.startswith("q=")), 1.0)
+        found = [f for m, f in media.items() if kind in (m, "*/*", m.split("/")[0] + "/*")]
+        if found and q > best_q:
+            best, best_q = (default if kind == "*/*" else found[0]), q
+    return best or default
