@@ -8,6 +8,7 @@ target's IRI. Triple patterns that share a subject become one scan of the table.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -94,8 +95,12 @@ _TABLES: dict[str, tuple[tuple[str, ...], dict[str, tuple[str, str]]]] = {
 }
 
 
+@lru_cache(maxsize=8)
 def tables(spark, folder: str) -> Mapping:
-    """The mapping of the Parquet tables of a folder. A column name used by two tables gets the table's name in front."""
+    """The mapping of the Parquet tables of a folder. A column name used by two tables gets the table's name in front.
+
+    Schemas and file lists are read once for a session and folder; call ``tables.cache_clear()`` after files change.
+    """
     maps = []
     names: dict[str, int] = {}
     frames = {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in _TABLES}
