@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import langid, mixing, sentencepieces, simhash, toxicity
-from tessera.llm.common import table, written
+from tessera.llm.common import small_batches, table, written
 from tessera.llm.queries import MIX_WEIGHTS
 
 #: No SQL: the stages score with trained models and hash sketches. Tested against brute force.
@@ -26,6 +26,7 @@ MIN_SCORE, MAX_BITS = 0.5, 8.0
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts in a learnt language; rejects null, letterless, ambiguous and incompressible ones."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(langid.train(docs))
 
     @F.pandas_udf("boolean")
@@ -39,6 +40,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that the tagger scores below one half; a null text counts as an empty one."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(toxicity.train(docs, table(spark, sf_dir, "labels")))
 
     @F.pandas_udf("boolean")

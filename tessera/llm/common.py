@@ -65,3 +65,15 @@ def words(text: Column) -> Column:
     r"""The words ``[^\x20\x09-\x0D]+`` of a text; none for null."""
     spaced = F.translate(F.coalesce(text, F.lit("")), SPACES, " " * len(SPACES))
     return F.array_remove(F.split(spaced, " "), "")
+
+
+#: Rows an Arrow batch of texts may have: whole texts are long, and a worker holds several copies of a batch.
+TEXT_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let this session's Arrow batches have at most ``TEXT_ROWS`` rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = int(spark.conf.get(name))
+    if rows <= 0 or rows > TEXT_ROWS:
+        spark.conf.set(name, str(TEXT_ROWS))

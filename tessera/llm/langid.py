@@ -21,13 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import small_batches
 from tessera.llm.folds import held_out, sample
 
 ORDER = 3
 #: Training bounds: documents and bytes a language.
 TRAIN_DOCS, TRAIN_BYTES = 400, 2_000_000
 #: Bytes scored at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _PAD = b"\n" * ORDER
@@ -177,8 +178,9 @@ def train(docs: DataFrame, lang: str = "lang", docs_per_language: int = TRAIN_DO
 def predict(texts: list[str | None], model: Model | None) -> list[tuple[str, float, float]]:
     """(language, posterior probability, bits a byte) of each text; null or letterless: ``und``, 0, 0."""
     out: list[tuple[str, float, float]] = [(UNKNOWN, 0.0, 0.0)] * len(texts)
-    some = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if model else []
-    if some:
+    letters = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if model else []
+    for at in range(0, len(letters), 64):  # few encoded copies at a time
+        some = letters[at : at + 64]
         raw = [texts[i].lower().encode("utf-8", "surrogatepass") for i in some]
         bits = model.totals(raw)
         best = bits.argmin(1)
@@ -195,6 +197,7 @@ def identify(docs: DataFrame, model: Model | None, key: str = "doc_id", text: st
     The whole text alone decides. A null or letterless text, and every text if nothing was learnt, is
     ``und`` with score 0. A null id is not held out. Repeated rows come as often as they are.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     slim = docs.select(F.col(key).alias("doc_id"), held_out(key).alias("held_out"), F.col(text).alias("text"))
     kind = dict(slim.dtypes)["doc_id"]

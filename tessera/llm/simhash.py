@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, fresh, written
+from tessera.llm.common import cut, fresh, small_batches, written
 
 SEED = 42
 BITS = 64
@@ -174,6 +174,7 @@ def view_keys(h: np.ndarray, mult: np.ndarray, add: np.ndarray, fold: np.ndarray
 
 def fingerprints(docs: DataFrame, shingle: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, fp) of each row: its key and its SimHash as a signed long; null text like empty: 0."""
+    small_batches(docs.sparkSession)
     slim = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
     return slim.mapInArrow(_fingerprints(shingle, False), "doc long, fp long")
 
@@ -222,6 +223,7 @@ def deduplicate(docs: DataFrame, radius: int = 3, shingle: int = 5, key: str = "
     Radius 3 alone reaches copies that differ by hardly more than case and blanks. Kept is the
     smallest id, a null one last; of rows with equal ids the one with the smaller row hash, once.
     """
+    small_batches(docs.sparkSession)
     row = fresh(docs, "row_hash")
     hashed = docs.withColumn(row, F.xxhash64(*[F.col(c) for c in docs.columns]))
     slim = hashed.select(F.struct(F.col(key).cast("long").alias("id"), F.col(row).alias("h")).alias("doc"), F.col(text).alias("text"))

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import small_batches
 from tessera.llm.folds import held_out, sample
 
 #: Training bounds: documents and bytes a label.
@@ -37,9 +38,9 @@ LANE = 128
 DIMS = 1 << 18
 PENALTY = 0.02
 #: Words whose features a worker keeps.
-CACHE = 300_000
+CACHE = 50_000
 #: Tokens scored at once.
-BLOCK = 1 << 18
+BLOCK = 1 << 16
 WORD = re.compile(r"\w+")
 
 
@@ -170,7 +171,7 @@ def fit(pairs: list[tuple[int, str]], steps: int = 45) -> Model:
     stream = [w for _, d in docs for w in d]
     vocabulary = {w: i for i, w in enumerate(dict.fromkeys(stream))}
     ids = np.array([vocabulary[w] for w in stream], np.int64)
-    own = np.array([features(w) for w in vocabulary], np.int64).reshape(len(vocabulary), -1)
+    own = np.array([features(w) for w in vocabulary], np.int64).reshape(len(vocabulary), len(features("")))
     after, before = (np.array([beside(w, s) for w in vocabulary], np.int64) for s in "<>")
     y = np.array([toxic and w in lexicon for toxic, d in docs for w in d], float)
     ends = np.cumsum([len(d) for _, d in docs])
@@ -251,6 +252,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     The whole text alone decides; null and empty texts score as texts without a toxic token. A null
     id is not held out. Repeated rows come as often as they are; an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     slim = docs.select(F.col(key).alias("doc_id"), held_out(key).alias("held_out"), F.col(text).alias("text"))
     kind = dict(slim.dtypes)["doc_id"]
