@@ -15,6 +15,7 @@ Components are found by alternating large-star and small-star steps over those e
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -31,7 +32,9 @@ BITS = 64
 #: Fingerprints a bucket may have before it is split.
 CAP = 2048
 #: Min-wise views of near_duplicates(): VIEWS keys of ROWS minima each.
-VIEWS, ROWS = 48, 10
+VIEWS, ROWS = 48, 6
+#: Shingle hashes of one candidate cluster that a worker holds in memory; more go to a file.
+HELD = 1 << 23
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -135,6 +138,107 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
 
 
+def alike(x: int, y: int | np.ndarray, both: int | np.ndarray) -> bool | np.ndarray:
+    """Whether sets of x and y members, ``both`` of them shared, have a Jaccard similarity of 4/5 or more."""
+    return 9 * both >= 4 * (x + y)
+
+
+def similar_within(sizes: np.ndarray, flat: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the links (``alike``) among distinct sorted sets laid end to end, as places.
+
+    Ordered from rare to common, two alike sets share one of their first n - ceil(4n/5) + 1 members, so
+    only sets that do are compared; any fixed order makes this exact, so the counts may be hashed.
+    """
+    ends = np.cumsum(sizes)
+    mask = np.uint64((1 << min(24, len(flat).bit_length() + 2)) - 1)
+    counts = np.zeros(int(mask) + 1, np.int64)
+    for i in range(0, len(flat), 1 << 20):
+        counts += np.bincount((flat[i : i + (1 << 20)] & mask).astype(np.int64), minlength=len(counts))
+    heads = []
+    for n, end in zip(sizes.tolist(), ends.tolist(), strict=True):
+        h = np.asarray(flat[end - n : end])
+        heads.append(h[np.lexsort((h, counts[(h & mask).astype(np.int64)]))[: n - (4 * n + 4) // 5 + 1]])
+    mark = np.zeros(len(counts), bool)
+    del counts
+    owner = np.repeat(np.arange(len(sizes)), [len(h) for h in heads])
+    token = np.concatenate(heads) if heads else np.empty(0, np.uint64)
+    order = np.argsort(token, kind="stable")
+    token, owner = token[order], owner[order]
+    alive, left, listed, edges = np.ones(len(sizes), bool), len(sizes), len(sizes), []
+    for root in range(len(sizes)):
+        if not alive[root]:
+            continue
+        alive[root], left, frontier = False, left - 1, [root]
+        while frontier and left:
+            if 2 * left < listed:
+                still = alive[owner]
+                token, owner, listed = token[still], owner[still], left
+            x = frontier.pop()
+            low, high = (np.searchsorted(token, heads[x], side) for side in ("left", "right"))
+            runs = high - low
+            near = np.zeros(len(sizes), bool)
+            near[owner[np.repeat(low - np.cumsum(runs) + runs, runs) + np.arange(runs.sum())]] = True
+            near = np.flatnonzero(near & alive)
+            near = near[(5 * sizes[near] >= 4 * sizes[x]) & (5 * sizes[x] >= 4 * sizes[near])]
+            if not len(near):
+                continue
+            own = np.asarray(flat[ends[x] - sizes[x] : ends[x]])
+            mark[(own & mask).astype(np.int64)] = True
+            for part in np.split(near, np.flatnonzero(np.diff(np.cumsum(sizes[near]) >> 20)) + 1):
+                other = np.concatenate([flat[ends[y] - sizes[y] : ends[y]] for y in part.tolist()])
+                most = np.add.reduceat(mark[(other & mask).astype(np.int64)], np.cumsum(sizes[part]) - sizes[part], dtype=np.int64)
+                for y in part[alike(len(own), sizes[part], most)].tolist():  # an upper bound; now exactly
+                    other = np.asarray(flat[ends[y] - sizes[y] : ends[y]])
+                    both = int((own[np.minimum(np.searchsorted(own, other), len(own) - 1)] == other).sum())
+                    if alike(len(own), len(other), both):
+                        alive[y], left = False, left - 1
+                        edges.append((y, root))
+                        frontier.append(y)
+            mark[(own & mask).astype(np.int64)] = False
+    return edges
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b): the links of each cluster, from batches of (cluster, node, shingles) sorted by cluster and node."""
+    now, nodes, sizes, parts, file = None, [], [], [], None
+
+    def out() -> pa.RecordBatch:
+        flat = np.memmap(file, np.uint64, "r") if file else np.concatenate(parts)
+        edges = similar_within(np.array(sizes, np.int64), flat)
+        return pa.record_batch([pa.array([nodes[e[i]] for e in edges], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    for batch in batches:
+        ends = np.cumsum(np.diff(batch.column(2).offsets.to_numpy())).tolist()
+        flat, begin = batch.column(2).flatten().to_numpy().view(np.uint64), 0
+        for cluster, node, end in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), ends, strict=True):
+            if cluster != now:
+                if len(nodes) > 1:
+                    yield out()
+                now, nodes, sizes, parts, held, file = cluster, [], [], [], 0, None
+            if not nodes or nodes[-1] != node:  # repeated rows come one after the other
+                nodes.append(node)
+                sizes.append(end - begin)
+                held += end - begin
+                parts.append(flat[begin:end].copy())
+                if held > HELD:
+                    file = file or tempfile.TemporaryFile()
+                    file.write(b"".join(p.tobytes() for p in parts))
+                    file.flush()
+                    parts, held = [], HELD
+            begin = end
+    if len(nodes) > 1:
+        yield out()
+
+
+def _shingle_sets(shingle: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64) for t in b.column(2)]
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(sets, pa.list_(pa.int64()))], names=["cluster", "node", "shingles"])
+
+    return run
+
+
 def _fingerprints(shingle: int, views: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(7)
@@ -144,16 +248,17 @@ def _fingerprints(shingle: int, views: bool) -> Callable:
         for batch in batches:
             key, texts = batch.column(0), batch.column(1)
             step = max(1, len(texts))
-            fps, keys = [], []
+            fps, nodes, keys = [], [], []
             for i in range(step if len(texts) else 0):
                 h = shingle_hashes(texts[i].as_py(), shingle)
                 fps.append(fingerprint(h))
                 if views:
+                    nodes.append(_signed(xxhash.xxh64_intdigest(np.unique(h).tobytes(), SEED)))
                     keys.append(view_keys(h, mult, add, fold))
             cols = [key, pa.array(fps, pa.int64())]
             if views:
-                cols.append(pa.array(keys, pa.list_(pa.int64())))
-            yield pa.record_batch(cols, names=["doc", "fp", "views"][: len(cols)])
+                cols += [pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.record_batch(cols, names=["doc", "fp", "node", "views"][: len(cols)])
 
     return run
 
@@ -217,29 +322,35 @@ def group(docs: DataFrame, radius: int = 3, shingle: int = 3, key: str = "doc_id
 def deduplicate(docs: DataFrame, radius: int = 3, shingle: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each group of near-duplicates, with the columns of ``docs``.
 
-    Groups join what SimHash over ``shingle`` words links within ``radius`` bits and what agrees in one
-    of ``VIEWS`` min-wise views (``ROWS`` minima each): a pair of shingle sets with Jaccard similarity
-    s meets in a view with probability 1 - (1 - s^10)^48, that is 0.996 at 0.8 and 0.05 at 0.5.
-    Radius 3 alone reaches copies that differ by hardly more than case and blanks. Kept is the
-    smallest id, a null one last; of rows with equal ids the one with the smaller row hash, once.
+    Two texts are near-duplicates if their sets of ``shingle`` words have a Jaccard similarity of 0.8 or
+    more; a group is what such pairs connect. Candidates are what SimHash links within ``radius``
+    bits and what agrees in one of ``VIEWS`` min-wise views (``ROWS`` minima each): a pair of
+    similarity s meets with probability 1 - (1 - s^6)^48, and misses with 5e-7 at 0.8. Inside what the
+    candidates connect, the shingle sets themselves are compared, so no other pair is a link.
+    Kept is the smallest id, a null one last; of rows with equal ids the one with the smaller row hash, once.
     """
     small_batches(docs.sparkSession)
     row = fresh(docs, "row_hash")
     hashed = docs.withColumn(row, F.xxhash64(*[F.col(c) for c in docs.columns]))
     slim = hashed.select(F.struct(F.col(key).cast("long").alias("id"), F.col(row).alias("h")).alias("doc"), F.col(text).alias("text"))
-    sketches = written(slim.mapInArrow(_fingerprints(shingle, True), "doc struct<id:long,h:long>, fp long, views array<long>"))
-    distinct = sketches.groupBy("fp", "views").agg(F.min(F.struct(F.col("doc.id").isNull(), "doc.id", "doc.h")).alias("least"))
-    distinct = written(distinct.withColumn("node", F.xxhash64("fp", "views")))
+    sketches = written(slim.mapInArrow(_fingerprints(shingle, True), "doc struct<id:long,h:long>, fp long, node long, views array<long>"))
+    # equal shingle sets are one node
+    distinct = written(sketches.groupBy("node", "views").agg(F.min("fp").alias("fp"), F.min(F.struct(F.col("doc.id").isNull(), "doc.id", "doc.h")).alias("least")))
     near = _edges(distinct.select("fp").distinct(), radius)
     hub = lambda fp, root: distinct.groupBy(F.col("fp").alias(fp)).agg(F.min("node").alias(root))
-    # same fingerprint, linked fingerprints, same view: all as edges between sketches
+    # candidates: same fingerprint, linked fingerprints, same view
     same_fp = distinct.select("fp", "node").join(hub("fp0", "b"), F.col("fp") == F.col("fp0")).select(F.col("node").alias("a"), "b")
     fp_edges = near.select(F.col("a").alias("x"), F.col("b").alias("y")).join(hub("fp1", "a"), F.col("x") == F.col("fp1")).join(hub("fp2", "b"), F.col("y") == F.col("fp2")).select("a", "b")
     seen = distinct.select("node", F.posexplode("views").alias("v", "k"))
     # a view's bucket is a star around its smallest node; the minimum is pre-aggregated
     hubs = seen.groupBy(F.col("v").alias("v1"), F.col("k").alias("k1")).agg(F.min("node").alias("b"), F.max("node").alias("far")).where("b <> far").drop("far")
     view_edges = seen.join(hubs, (F.col("v") == F.col("v1")) & (F.col("k") == F.col("k1"))).select(F.col("node").alias("a"), "b")
-    roots = components(reduce(DataFrame.union, [same_fp, fp_edges, view_edges]))
+    clusters = components(reduce(DataFrame.union, [same_fp, fp_edges, view_edges])).withColumnRenamed("root", "cluster")
+    # links: the shingle sets of each cluster, from one text a node
+    members = distinct.select(F.col("node").alias("own"), F.col("least.id").alias("id"), F.col("least.h").alias("h")).join(clusters, F.col("own") == F.col("node")).select("id", "h", "cluster", "node")
+    sets = slim.join(members, (F.col("doc.h") == F.col("h")) & F.col("doc.id").eqNullSafe(F.col("id"))).select("cluster", "node", "text")
+    sets = sets.mapInArrow(_shingle_sets(shingle), "cluster long, node long, shingles array<long>")
+    roots = components(sets.repartition("cluster").sortWithinPartitions("cluster", "node").mapInArrow(_verified, "a long, b long"))
     linked = distinct.select(F.col("node").alias("own"), "least").join(roots, F.col("own") == F.col("node"), "left").select("least", F.coalesce("root", "own").alias("root"))
     kept = linked.groupBy("root").agg(F.min("least").alias("m")).select(F.col("m.id").alias("kept_id"), F.col("m.h").alias("kept_hash"))
     out = hashed.join(kept, (hashed[row] == kept.kept_hash) & hashed[key].cast("long").eqNullSafe(kept.kept_id), "left_semi")

@@ -90,6 +90,63 @@ def test_deduplicate_keeps_one_of_each_group(spark):
     assert (2000 in kept) and 2001 not in kept
 
 
+def brute_kept(rows):
+    """The smallest id of what pairs with five-word shingle sets of Jaccard similarity 0.8 or more connect."""
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for _, t in rows]
+    part = list(range(len(rows)))
+
+    def find(x):
+        while part[x] != x:
+            x = part[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                part[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), d), d)
+    return sorted(least.values())
+
+
+def test_deduplicate_compares_the_shingle_sets(spark, monkeypatch):
+    """Pairs at 0.6, 0.7, 0.79, 0.8 and 0.9 by their number of shared shingles, chains, and nested bases."""
+    rows, n = [], 0
+    words = lambda k: [f"w{n}x{i}" for i in range(k)]
+    for shared, total in ((60, 100), (70, 100), (79, 100), (80, 100), (90, 100), (4, 5), (3, 4)):
+        for _ in range(12):
+            n += 1
+            text = words(total + 4)
+            rows += [(len(rows), " ".join(text[: shared + 4])), (len(rows) + 1, " ".join(text))]
+    for _ in range(6):  # neighbours at 0.9, the ends far apart
+        n += 1
+        text = words(164)
+        rows += [(len(rows) + i, " ".join(text[5 * i : 5 * i + 100])) for i in range(12)]
+    want = brute_kept(rows)
+    df = spark.createDataFrame(rows + rows[:5], "doc_id long, text string")
+    for held in (simhash.HELD, 50):  # the second keeps sets in files
+        monkeypatch.setattr(simhash, "HELD", held)
+        assert sorted(r.doc_id for r in simhash.deduplicate(df).collect()) == want
+
+
+def test_similar_within_is_exact():
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+        sets = list({np.unique(np.concatenate([base[rng.random(60) < rng.choice([0.5, 0.85, 0.95])], rng.integers(0, 1 << 63, rng.integers(0, 9), dtype=np.uint64)])).tobytes() for _ in range(30)})
+        sets = [np.frombuffer(x, np.uint64) for x in sets]
+        part = list(range(len(sets)))
+        got = list(part)
+        for a, b in ((i, j) for i in range(len(sets)) for j in range(i)):
+            if 5 * len(np.intersect1d(sets[a], sets[b])) >= 4 * len(np.union1d(sets[a], sets[b])):
+                part = [part[b] if x == part[a] else x for x in part]
+        for a, b in simhash.similar_within(np.array([len(x) for x in sets]), np.concatenate(sets)):
+            got = [got[b] if x == got[a] else x for x in got]
+        pairs = [(i, j) for i in range(len(sets)) for j in range(i)]
+        assert [part[i] == part[j] for i, j in pairs] == [got[i] == got[j] for i, j in pairs]
+
+
 def test_topk_against_brute_force(spark):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(5, 32))
