@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpoint_dir
+from tessera.llm.common import checkpoint_dir, written
 
 QUERY_BLOCK = 32_768
 #: Queries and candidates multiplied at once.
@@ -151,19 +151,21 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k highest scores among the vectors with another id.
 
     Both tables have vec_id and v (array of longs), as ``whole`` makes them. Ties go to the smaller
-    id; fewer candidates than k give all. Rows that share an id are one vector's: none is a
-    candidate of its own id, and a candidate that is repeated counts once. Vectors of different lengths don't
-    meet. Empty tables give no rows. Scores must fit a long.
+    id; fewer candidates than k give all. Repeated rows (same id, same vector) count once in either
+    table, before any cut; rows of one id with different vectors count each, and a query's are ranked
+    together. None is a candidate of its own id. Vectors of different lengths don't meet. Empty tables give no rows. Scores must fit a long.
     """
     spark = vectors.sparkSession
-    queries = queries.dropDuplicates(["vec_id"])
+    vectors, queries = (t.select("vec_id", "v").dropDuplicates() for t in (vectors, queries))
     blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
     block_of = F.pmod(F.xxhash64("vec_id"), F.lit(blocks))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     path, out = f"{checkpoint_dir(spark)}/tessera-{uuid.uuid4().hex}", None
+    if blocks > 1:
+        vectors, queries = written(vectors), written(queries)
     for i in range(blocks):
         rows = queries.where(block_of == i).select("vec_id", "v").collect()
-        partial = _partial([(r[0], r[1]) for r in rows], vectors.select("vec_id", "v"), k).dropDuplicates()
+        partial = _partial([(r[0], r[1]) for r in rows], vectors, k)
         out = partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
         if blocks > 1:
             out.write.mode("append").parquet(path)

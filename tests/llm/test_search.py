@@ -165,6 +165,21 @@ def test_topk_against_brute_force(spark):
         assert sorted(got.get(q, [])) == [(n + 1, c, -s) for n, (s, c) in enumerate(best)]
 
 
+def test_topk_counts_repeats_once_before_the_cut(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.integers(-9, 10, 8).tolist()) for i in range(120)]
+    rows += [(500, [90] * 8)] * 50 + [(0, rng.integers(-9, 10, 8).tolist()), (7, [80] * 8)]  # 0 and 7 have two vectors
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>").coalesce(1)
+    kept = {(i, tuple(v)) for i, v in rows}
+    want = {q: sorted((-int(np.dot(a, b)), c) for i, a in kept if i == q for c, b in kept if c != q)[:20] for q in (0, 1, 7, 500)}
+    for block in (topk.QUERY_BLOCK, 2):
+        monkeypatch.setattr(topk, "QUERY_BLOCK", block)
+        got = {}
+        for r in topk.search(df, df.where("vec_id in (0, 1, 7, 500)"), 20).orderBy("rank").collect():
+            got.setdefault(r.query_id, []).append((-r.score, r.vec_id))
+        assert got == want
+
+
 def test_bounds_prune_and_stay_exact():
     rng = np.random.default_rng(4)
     q, c = rng.integers(-5, 6, (3, 64)), rng.integers(-5, 6, (5000, 64))
