@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +71,33 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(spaced, " "), "")
 
 
+#: Rows and text bytes a worker takes at once from an Arrow batch (Spark bounds a batch's bytes itself).
+SLICE_ROWS, SLICE_BYTES = 500, 1 << 21
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut, without copying, where ``SLICE_ROWS`` rows or ``SLICE_BYTES`` bytes of column ``text`` are full."""
+    for b in batches:
+        if not b.num_rows:
+            yield b
+        size = pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(size, dtype=np.int64)
+        at = 0
+        while at < len(ends):
+            before = ends[at - 1] if at else 0
+            end = min(at + SLICE_ROWS, max(at + 1, int(np.searchsorted(ends, before + SLICE_BYTES, "right"))))
+            yield b.slice(at, end - at)
+            at = end
+
+
+class Numbers(dict):
+    """Words by number; a new word takes the next number."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 #: Rows an Arrow batch of texts may have: whole texts are long, and a worker holds several copies of a batch.
 TEXT_ROWS = 500
 
