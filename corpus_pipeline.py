@@ -8,14 +8,14 @@ documents.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import langid, mixing, sentencepieces, simhash, toxicity
-from tessera.llm.common import small_batches, table, written
+from tessera.llm.common import slices, table, written
 from tessera.llm.queries import MIX_WEIGHTS
 
 #: No SQL: the stages score with trained models and hash sketches. Tested against brute force.
@@ -24,30 +24,29 @@ ORACLE_SQL = None
 MIN_SCORE, MAX_BITS = 0.5, 8.0
 
 
-def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts in a learnt language; rejects null, letterless, ambiguous and incompressible ones."""
-    small_batches(spark)
-    shared = spark.sparkContext.broadcast(langid.train(docs))
+def judged(decide: Callable[[list[str | None]], list[bool]]) -> Callable[[str], Column]:
+    """A column function over texts, taken in small slices of Spark's Arrow batches."""
 
-    @F.pandas_udf("boolean")
-    def fine(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("boolean")
+    def fine(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in texts:
-            found = langid.predict([None if t is None else t for t in part], shared.value)
-            yield pd.Series([lang != langid.UNKNOWN and score >= MIN_SCORE and bits < MAX_BITS for lang, score, bits in found], dtype=bool)
+            parts = slices(iter([pa.record_batch([part], names=["text"])]), 0)
+            yield pa.array([x for b in parts for x in decide(b.column(0).to_pylist())], pa.bool_())
 
+    return fine
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts in a learnt language; rejects null, letterless, ambiguous and incompressible ones."""
+    shared = spark.sparkContext.broadcast(langid.train(docs))
+    fine = judged(lambda texts: [lang != langid.UNKNOWN and score >= MIN_SCORE and bits < MAX_BITS for lang, score, bits in langid.predict(texts, shared.value)])
     return docs.where(fine("text"))
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that the tagger scores below one half; a null text counts as an empty one."""
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(toxicity.train(docs, table(spark, sf_dir, "labels")))
-
-    @F.pandas_udf("boolean")
-    def fine(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in texts:
-            yield pd.Series([score < 0.5 for score, _ in toxicity.tag(list(part), shared.value)], dtype=bool)
-
+    fine = judged(lambda texts: [score < 0.5 for score, _ in toxicity.tag(texts, shared.value)])
     return docs.where(fine("text"))
 
 
