@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.common import cut, md5_unit
+
 FOLDS = 5
+#: Text bytes of a sample over all labels; many labels share it, so each still has some.
+MOST_BYTES = 64_000_000
+#: Rows of a label that are ranked: so many times those wanted, and so many more; fewer than wanted never come.
+SPARE, LEAST_RANKED = 4, 100
+#: Sampled ids that are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def remainder(key: str = "doc_id") -> Column:
@@ -17,37 +25,39 @@ def held_out(key: str = "doc_id") -> Column:
     return F.coalesce(remainder(key) == 0, F.lit(False))
 
 
-def sample(rows: DataFrame, docs: DataFrame, label: str, per_label: int, max_bytes: int, max_labels: int = 1000) -> list[tuple[object, str]]:
+def learnable(rows: DataFrame, label: str) -> DataFrame:
+    """(doc_id, ``label``) of the labelled rows outside the held-out fold."""
+    return rows.where((remainder() != 0) & F.col(label).isNotNull()).select("doc_id", label)
+
+
+def sample(rows: DataFrame, docs: DataFrame, label: str, per_label: int, max_bytes: int) -> list[tuple[object, str]]:
     """At most ``per_label`` (label, text) pairs of each label, ``max_bytes`` of text in all a label.
 
     ``rows`` has doc_id and ``label``; only rows outside the held-out fold with a label take part, by
-    the order of a hash of their ids. Whole texts are taken until a label's bytes are used up.
+    the order of a hash of their ids, and of them those with a text give whole texts while a label's
+    bytes last. Every label is there, however many there are: with more than ``MOST_BYTES`` /
+    ``max_bytes`` labels each has an equal share of ``MOST_BYTES``, and its first text in any case.
+    Repeated rows count once; of an id's texts the longest is taken. Texts are read for picked ids only.
     """
-    learn = rows.where((remainder() != 0) & F.col(label).isNotNull()).select("doc_id", label)
-    found = [r[0] for r in learn.select(label).distinct().limit(max_labels).collect()]
-    order = F.md5(F.concat(F.lit("sample"), F.col("doc_id").cast("string")))
-    ids: dict[int, object] = {}
-    for value in sorted(found):
-        ids.update((r[0], value) for r in learn.where(F.col(label) == value).orderBy(order, "doc_id").limit(per_label).select("doc_id").collect())
-    if not ids:
-        return []
-    size = F.octet_length("text")
-    picked = docs.where(F.col("doc_id").isin(list(ids)) & F.col("text").isNotNull())
-    sizes = picked.select("doc_id", size.alias("n")).limit(4 * len(ids)).collect()
-    used: dict[object, int] = {}
-    keep = []
-    for r in sorted(set((r["doc_id"], r["n"]) for r in sizes), key=lambda x: (hash_order(x[0]), x)):
-        value = ids[r[0]]
-        if used.get(value, 0) + r[1] <= max_bytes:
-            used[value] = used.get(value, 0) + r[1]
-            keep.append(r[0])
-    if not keep:
-        return []
-    texts = docs.where(F.col("doc_id").isin(keep) & F.col("text").isNotNull()).select("doc_id", "text").limit(4 * len(keep)).collect()
-    return sorted((ids[r["doc_id"]], r["text"]) for r in texts)
-
-
-def hash_order(x: int) -> str:
-    from hashlib import md5
-
-    return md5(f"sample{x}".encode()).hexdigest()
+    known = learnable(rows, label).withColumn("u", md5_unit("sample", F.col("doc_id").cast("string")))
+    # by the labels' counts, far more than the first rows of each pass; so a label's task sees few, however many there are
+    counts = cut(known.groupBy(F.col(label).alias("of")).count())
+    known = known.join(_small(counts), F.col(label) == F.col("of")).where(F.col("u") * F.col("count") <= SPARE * per_label + LEAST_RANKED)
+    nth = F.dense_rank().over(Window.partitionBy(label).orderBy("u", "doc_id"))
+    first = cut(known.withColumn("nth", nth).where(F.col("nth") <= per_label).select("doc_id", label, "nth").distinct())
+    labels = first.select(label).distinct().count()
+    ids = first.select(F.col("doc_id").alias("id")).distinct()
+    texts = docs.where(F.col("text").isNotNull())
+    of = texts.join(_small(ids), F.col("doc_id") == F.col("id")).groupBy("id").agg(F.max(F.struct(F.octet_length("text").alias("n"), F.xxhash64("text").alias("h"))).alias("t"))
+    upto = F.sum("t.n").over(Window.partitionBy(label).orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    least = F.min("nth").over(Window.partitionBy(label))
+    most = min(max_bytes, MOST_BYTES // max(1, labels))
+    sized = first.join(of, F.col("doc_id") == F.col("id")).withColumns({"upto": upto, "least": least})
+    picked = cut(sized.where((F.col("upto") <= most) | (F.col("nth") == F.col("least"))).select("id", F.col("t.h").alias("h"), F.col(label).alias("value")))
+    found = texts.join(_small(picked), (F.col("doc_id") == F.col("id")) & (F.xxhash64("text") == F.col("h"))).select("value", "id", "text")
+    return [(value, text) for value, _, text in sorted({tuple(r) for r in found.collect()})]
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    """A broadcast of rows of few bytes where their counted number allows it."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import small_batches
+from tessera.llm.common import slices
 from tessera.llm.folds import held_out, sample
 
 ORDER = 3
@@ -197,13 +197,12 @@ def identify(docs: DataFrame, model: Model | None, key: str = "doc_id", text: st
     The whole text alone decides. A null or letterless text, and every text if nothing was learnt, is
     ``und`` with score 0. A null id is not held out. Repeated rows come as often as they are.
     """
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     slim = docs.select(F.col(key).alias("doc_id"), held_out(key).alias("held_out"), F.col(text).alias("text"))
     kind = dict(slim.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 2):
             found = predict(b.column(2).to_pylist(), shared.value)
             cols = [pa.array([x[i] for x in found], t) for i, t in enumerate((pa.string(), pa.float64(), pa.float64()))]
             yield pa.record_batch([b.column(0), b.column(1), *cols], names=["doc_id", "held_out", "lang_pred", "score", "bits_per_byte"])

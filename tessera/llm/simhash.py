@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, fresh, small_batches, written
+from tessera.llm.common import cut, fresh, slices, written
 
 SEED = 42
 BITS = 64
@@ -232,7 +232,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _shingle_sets(shingle: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 2):
             sets = [np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64) for t in b.column(2)]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(sets, pa.list_(pa.int64()))], names=["cluster", "node", "shingles"])
 
@@ -245,11 +245,10 @@ def _fingerprints(shingle: int, views: bool) -> Callable:
         mult = (rng.integers(0, 1 << 31, VIEWS * ROWS, dtype=np.uint32) << 1) | np.uint32(1)
         add = rng.integers(0, 1 << 32, VIEWS * ROWS, dtype=np.uint32)
         fold = (rng.integers(0, 1 << 62, ROWS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-        for batch in batches:
+        for batch in slices(batches, 1):
             key, texts = batch.column(0), batch.column(1)
-            step = max(1, len(texts))
             fps, nodes, keys = [], [], []
-            for i in range(step if len(texts) else 0):
+            for i in range(len(texts)):
                 h = shingle_hashes(texts[i].as_py(), shingle)
                 fps.append(fingerprint(h))
                 if views:
@@ -279,7 +278,6 @@ def view_keys(h: np.ndarray, mult: np.ndarray, add: np.ndarray, fold: np.ndarray
 
 def fingerprints(docs: DataFrame, shingle: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, fp) of each row: its key and its SimHash as a signed long; null text like empty: 0."""
-    small_batches(docs.sparkSession)
     slim = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
     return slim.mapInArrow(_fingerprints(shingle, False), "doc long, fp long")
 
@@ -329,7 +327,6 @@ def deduplicate(docs: DataFrame, radius: int = 3, shingle: int = 5, key: str = "
     candidates connect, the shingle sets themselves are compared, so no other pair is a link.
     Kept is the smallest id, a null one last; of rows with equal ids the one with the smaller row hash, once.
     """
-    small_batches(docs.sparkSession)
     row = fresh(docs, "row_hash")
     hashed = docs.withColumn(row, F.xxhash64(*[F.col(c) for c in docs.columns]))
     slim = hashed.select(F.struct(F.col(key).cast("long").alias("id"), F.col(row).alias("h")).alias("doc"), F.col(text).alias("text"))
