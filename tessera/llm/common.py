@@ -65,10 +65,16 @@ def key_text(col: Column) -> Column:
     return F.coalesce(col.cast("string"), F.lit("null"))
 
 
+def spaced(text: Column, marks: str) -> Column:
+    """``text`` with each of the characters ``marks`` replaced by a blank."""
+    for c in marks:
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return text
+
+
 def words(text: Column) -> Column:
     r"""The words ``[^\x20\x09-\x0D]+`` of a text; none for null."""
-    spaced = F.translate(F.coalesce(text, F.lit("")), SPACES, " " * len(SPACES))
-    return F.array_remove(F.split(spaced, " "), "")
+    return F.array_remove(F.split(spaced(F.coalesce(text, F.lit("")), SPACES), " "), "")
 
 
 #: Rows and text bytes a worker takes at once from an Arrow batch (Spark bounds a batch's bytes itself).
@@ -96,15 +102,3 @@ class Numbers(dict):
     def __missing__(self, word: str) -> int:
         n = self[word] = len(self)
         return n
-
-
-#: Rows an Arrow batch of texts may have: whole texts are long, and a worker holds several copies of a batch.
-TEXT_ROWS = 500
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Let this session's Arrow batches have at most ``TEXT_ROWS`` rows."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    rows = int(spark.conf.get(name))
-    if rows <= 0 or rows > TEXT_ROWS:
-        spark.conf.set(name, str(TEXT_ROWS))
