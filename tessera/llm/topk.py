@@ -7,8 +7,9 @@ best score so far is dropped. While most pairs survive a step is one matrix prod
 candidates that some query still needs; once few do, the survivors are compacted to a list of
 pairs. Dimensions are visited in the order of the queries' energy, so bounds tighten early.
 
-The queries are taken in blocks of at most about ``QUERY_BLOCK``, hashed by id, so what is
-broadcast is bounded; every task streams its candidates past the block and emits k rows a query.
+The queries are taken in blocks of about ``QUERY_BLOCK`` rows or ``QUERY_BYTES`` bytes at most, hashed by
+id, so what is collected and broadcast is bounded whatever the dimension; every task streams its
+candidates past the block and emits k rows a query.
 """
 
 from __future__ import annotations
@@ -19,12 +20,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import checkpoint_dir, written
 
-QUERY_BLOCK = 32_768
+QUERY_BLOCK, QUERY_BYTES = 32_768, 64_000_000
 #: Queries and candidates multiplied at once.
 TILE, BATCH = 256, 4096
 STEP = 16
@@ -33,7 +35,7 @@ SPARSE = 0.1
 
 
 class Best:
-    """The k best (score, id) of each of n queries; ties to the smaller id."""
+    """The k best (score, id) of each of a tile's n queries; ties to the smaller id."""
 
     def __init__(self, n: int, k: int):
         self.k = k
@@ -59,8 +61,8 @@ def number_type(queries: np.ndarray, candidates: np.ndarray) -> type:
     return np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64
 
 
-def scan(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray, best: Best, base: int) -> None:
-    """Offer candidates ``c`` (n x d integers) to queries ``q`` (m x d), numbered from ``base`` in ``best``."""
+def scan(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray, best: Best) -> None:
+    """Offer candidates ``c`` (n x d integers) to queries ``q`` (m x d), those of ``best``."""
     kind = number_type(q, c)
     dims = q.shape[1]
     order = np.argsort(-(q.astype(np.float64) ** 2).sum(0), kind="stable")
@@ -72,7 +74,7 @@ def scan(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray, bes
         return np.sqrt(squares[::-1].cumsum(0)[::-1])
 
     q_rest, c_rest = rest(q.T), rest(tall)
-    floor = best.floor[base : base + len(q)]
+    floor = best.floor
     columns = np.arange(tall.shape[1])
     acc = np.zeros((len(q), len(columns)), kind)
     pairs = None
@@ -102,7 +104,7 @@ def scan(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray, bes
         pairs = rows, columns[cols], acc[rows, cols]
     rows, cols, got = pairs
     other = q_ids[rows] != c_ids[cols]
-    best.add(rows[other] + base, got[other].astype(np.int64), c_ids[cols[other]])
+    best.add(rows[other], got[other].astype(np.int64), c_ids[cols[other]])
 
 
 def whole(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", scale: float = 64.0) -> DataFrame:
@@ -121,30 +123,32 @@ def _matrix(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return {int(d): (at, flat[starts[at][:, None] + np.arange(d)]) for d in np.unique(lengths) for at in [np.flatnonzero(lengths == d)]}
 
 
-def _partial(queries: list[tuple[int, np.ndarray]], candidates: DataFrame, k: int) -> DataFrame:
+def _partial(queries: pa.Table, candidates: DataFrame, k: int) -> tuple[DataFrame, Broadcast]:
     """(query_id, vec_id, score): the k best of each partition of ``candidates`` for each query of a block."""
     by_length = {}
-    for d in {len(v) for _, v in queries}:
-        own = sorted((i, v) for i, v in ((i, tuple(v)) for i, v in queries) if len(v) == d)
-        by_length[d] = np.array([i for i, _ in own], np.int64), np.array([v for _, v in own], np.int64).reshape(-1, d)
+    if queries.num_rows:
+        ids, vectors = (queries.column(i).combine_chunks() for i in (0, 1))
+        for d, (places, v) in _matrix(vectors).items():
+            own = ids.to_numpy()[places]
+            order = np.lexsort((*v.T[::-1], own))
+            by_length[d] = own[order], v[order]
     shared = candidates.sparkSession.sparkContext.broadcast(by_length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = {d: Best(len(ids), k) for d, (ids, _) in shared.value.items()}
+        tiles = {d: [(ids[i : i + TILE], q[i : i + TILE]) for i in range(0, len(q), TILE)] for d, (ids, q) in shared.value.items()}
+        best = {d: [Best(len(ids), k) for ids, _ in own] for d, own in tiles.items()}
         for b in batches:
             ids = b.column(0).to_numpy()
             for d, (places, c) in _matrix(b.column(1)).items():
-                if d not in best:
-                    continue
-                q_ids, q = shared.value[d]
                 for i in range(0, len(places), BATCH):
                     part = slice(i, i + BATCH)
-                    for j in range(0, len(q), TILE):
-                        scan(q[j : j + TILE], q_ids[j : j + TILE], c[part], ids[places[part]], best[d], j)
-        for d, found in best.items():
-            yield pa.record_batch([pa.array(shared.value[d][0][found.query]), pa.array(found.id), pa.array(found.score)], names=["query_id", "vec_id", "score"])
+                    for (q_ids, q), found in zip(tiles.get(d, ()), best.get(d, ()), strict=True):
+                        scan(q, q_ids, c[part], ids[places[part]], found)
+        for d, own in best.items():
+            for (q_ids, _), found in zip(tiles[d], own, strict=True):
+                yield pa.record_batch([pa.array(q_ids[found.query]), pa.array(found.id), pa.array(found.score)], names=["query_id", "vec_id", "score"])
 
-    return candidates.mapInArrow(run, "query_id long, vec_id long, score long")
+    return candidates.mapInArrow(run, "query_id long, vec_id long, score long"), shared
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
@@ -157,16 +161,17 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """
     spark = vectors.sparkSession
     vectors, queries = (t.select("vec_id", "v").dropDuplicates() for t in (vectors, queries))
-    blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
+    counted = queries.agg(F.count("*").alias("n"), F.sum(F.size("v")).alias("x")).first()
+    blocks = max(1, math.ceil(counted["n"] / QUERY_BLOCK), math.ceil(8 * (counted["x"] or 0) / QUERY_BYTES))
     block_of = F.pmod(F.xxhash64("vec_id"), F.lit(blocks))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     path, out = f"{checkpoint_dir(spark)}/tessera-{uuid.uuid4().hex}", None
     if blocks > 1:
         vectors, queries = written(vectors), written(queries)
     for i in range(blocks):
-        rows = queries.where(block_of == i).select("vec_id", "v").collect()
-        partial = _partial([(r[0], r[1]) for r in rows], vectors, k)
+        partial, shared = _partial(queries.where(block_of == i).select("vec_id", "v").toArrow(), vectors, k)
         out = partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
         if blocks > 1:
             out.write.mode("append").parquet(path)
+            shared.destroy()
     return out if blocks == 1 else spark.read.parquet(path)

@@ -186,7 +186,7 @@ def test_bounds_prune_and_stay_exact():
     c[:50] *= 8
     best = topk.Best(3, 7)
     for i in range(0, 5000, 500):
-        topk.scan(q, np.array([-1, -2, -3]), c[i : i + 500], np.arange(i, i + 500), best, 0)
+        topk.scan(q, np.array([-1, -2, -3]), c[i : i + 500], np.arange(i, i + 500), best)
     for j in range(3):
         want = sorted(zip(-(c @ q[j]), range(5000), strict=True))[:7]
         assert list(zip((-best.score[best.query == j]).tolist(), best.id[best.query == j].tolist(), strict=True)) == [(int(s), i) for s, i in want]
