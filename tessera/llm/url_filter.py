@@ -13,6 +13,7 @@ level 0 would pass ``MAX_BITS`` is answered by a shuffled semi join instead.
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass
 
@@ -40,11 +41,15 @@ class Level:
     def accepts(self, key: Column) -> Column:
         """True where every bit of ``key`` is set. ``key`` must not be null."""
         bits = F.split(F.lit(",".join(map(str, self.words))), ",").cast("array<bigint>")
-        found = F.lit(True)
-        for place in places(key, len(self.words) * 64, self.hashes, self.salt):
-            word = F.get(bits, F.floor(place / 64).cast("int"))
-            found = found & (F.getbit(word, (place % 64).cast("int")) == 1)
-        return found
+
+        def all_set(words: Column) -> Column:
+            found = F.lit(True)
+            for place in places(key, len(self.words) * 64, self.hashes, self.salt):
+                found = found & (F.getbit(F.get(words, F.floor(place / 64).cast("int")), (place % 64).cast("int")) == 1)
+            return found
+
+        # an array of one array names the words, which so stand in the plan once
+        return F.exists(F.array(bits), all_set)
 
 
 def places(key: Column, m: int, hashes: int, salt: int) -> list[Column]:
@@ -125,23 +130,27 @@ def judge(pages: DataFrame, rules: dict[str, str], url: str = "url", default: st
 
     ``rules`` maps ``host + path`` (like ``net/es/``) to ``allow`` or ``block``. A rule fits
     its host and all subdomains where the url's path starts with the rule's path; the
-    longest that fits decides. The candidate keys of a url are its host suffixes joined
-    with those prefixes of its path that have the length of some rule's path; the rule
-    of a url is its longest candidate in the cascade. A url without one is ``default``:
-    the cascade proves that none of its keys is listed.
+    longest that fits decides. The candidate keys of a url are its host suffixes and
+    prefixes of its path with as many labels and characters as some rule has, so a host of
+    many labels has no more keys than the rules have shapes; the rule of a url is its
+    longest candidate in the cascade. A url without one is ``default``: the cascade proves
+    that none of its keys is listed.
 
     Null, empty and ``://``-less urls have empty host and path and no rule. Columns of
     ``pages`` named like the new ones are replaced. No rules: all ``default``.
     """
     spark = pages.sparkSession
-    lengths = sorted({len(r) - r.index("/") for r in rules}, reverse=True)
-    framed = pages.drop(*[c for c in pages.columns if c.lower() in ("host", "path", "rule", "verdict", "keys_")])
+    shapes = sorted({(r[: r.index("/")].count(".") + 1, len(r) - r.index("/")) for r in rules})
+    framed = pages.drop(*[c for c in pages.columns if c.lower() in ("host", "path", "rule", "verdict", "keys_", "labels_")])
     framed = framed.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
-    labels = F.split("host", "\\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.call_function("substring_index", F.col("host"), F.lit("."), -i))
-    starts = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length("path"))
-    keys = F.flatten(F.transform(suffixes, lambda s: F.transform(starts, lambda n: F.concat(s, F.col("path").substr(F.lit(1), n)))))
-    framed = framed.withColumn("keys_", F.when(F.col("host") != "", keys).otherwise(F.array().cast("array<string>")))
+    fits = F.filter(
+        F.from_json(F.lit(json.dumps([{"n": n, "m": m} for n, m in shapes])), "array<struct<n:int,m:int>>"),
+        lambda x: (x["n"] <= F.col("labels_")) & (x["m"] <= F.length("path")),
+    )
+    key = lambda x: F.concat(F.call_function("substring_index", F.col("host"), F.lit("."), -x["n"]), F.col("path").substr(F.lit(1), x["m"]))
+    framed = framed.withColumn("labels_", F.length("host") - F.length(F.replace("host", F.lit("."), F.lit(""))) + 1)
+    keys = F.when(F.col("host") != "", F.transform(fits, key)).otherwise(F.array().cast("array<string>"))
+    framed = framed.withColumn("keys_", keys).drop("labels_")
     listed = spark.createDataFrame([(r,) for r in rules], "key string")
     cascade = build(listed, framed.select(F.explode("keys_").alias("key")))
     if cascade is None:
