@@ -4,7 +4,7 @@ Source s with n_s of N documents and target share w_s has the mean repetition ra
 N * w_s / n_s. Each document's count is a Poisson draw at that rate, found by inverting the
 distribution at a uniform number hashed from the seed and the document's id, so it depends
 on nothing else in its partition and a lost task repeats it exactly. A document appears as
-often as its count says, and a range shuffle on a hash of id and copy number orders all
+often as its count says, and a shuffle into ranges of a hash of id and copy number orders all
 copies at random.
 """
 
@@ -22,6 +22,8 @@ MAX_SOURCES = 10_000
 SALTS = 64
 #: A draw with a larger mean is the sum of draws with means up to this.
 MAX_MEAN = 500.0
+#: Copies of a document that are made at once.
+COPIES = 1024
 
 
 def poisson(u: Column, mean: Column) -> Column:
@@ -41,7 +43,7 @@ def count_of(key: Column, mean: Column, seed: int) -> Column:
     """A Poisson count hashed from ``key``; large means are split into equal parts and summed."""
     parts = F.greatest(F.lit(1), F.ceil(mean / MAX_MEAN).cast("int"))
     draw = lambda j: poisson(md5_unit(str(seed), j.cast("string"), key), mean / parts)
-    drawn = F.aggregate(F.transform(F.sequence(F.lit(1), parts), draw), F.lit(0), lambda a, b: a + b)
+    drawn = F.aggregate(F.transform(F.sequence(F.lit(1), parts), draw), F.lit(0).cast("long"), lambda a, b: a + b)
     return F.when(mean > 0, drawn).otherwise(0)
 
 
@@ -77,7 +79,13 @@ def mix(docs: DataFrame, weights: dict[str, float], rest: float = 1.0, seed: int
         salt, at = fresh(docs, "salt"), fresh(docs, "source_name")
         per = per.select(F.col("source").alias(at), F.col("rate").alias(new["rate"]), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(salt))
         rows = docs.withColumns({at: name, salt: F.pmod(F.xxhash64(id_), F.lit(SALTS)).cast("int")}).join(per, [at, salt]).drop(at, salt)
-    rows = rows.withColumn(new["copies"], count_of(id_, F.col(new["rate"]), seed).cast("int")).where(F.col(new["copies"]) > 0)
-    rows = rows.withColumn(new["copy"], F.explode(F.sequence(F.lit(0), F.col(new["copies"]) - 1)))
+    rows = rows.withColumn(new["copies"], count_of(id_, F.col(new["rate"]), seed))
+    # in two steps, so that no row holds an array of all its copies
+    first = F.col(new["copy"]) * COPIES
+    rows = rows.withColumn(new["copy"], F.explode(F.when(F.col(new["copies"]) > 0, F.sequence(F.lit(0).cast("long"), F.floor((F.col(new["copies"]) - 1) / COPIES)))))
+    rows = rows.withColumn(new["copy"], F.explode(F.sequence(first, F.least(first + COPIES, F.col(new["copies"])) - 1)))
     rows = rows.withColumn(new["order_key"], F.md5(F.concat_ws("|", F.lit(f"order{seed}"), id_, F.col(new["copy"]).cast("string"))))
-    return rows.orderBy(new["order_key"])
+    # the keys are uniform, so equal ranges of their first digits are equal parts: no pass to sample them
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.shiftright(F.conv(F.substring(new["order_key"], 1, 8), 16, 10).cast("long") * parts, 32).cast("int")
+    return rows.repartitionById(parts, part).sortWithinPartitions(new["order_key"])

@@ -91,13 +91,13 @@ cdf(s, rate, k, p, c) AS (
     UNION ALL SELECT s, rate, k + 1, p * rate / (k + 1), c + p * rate / (k + 1) FROM cdf WHERE k < rate + 12 * sqrt(rate) + 20),
 drawn AS (SELECT doc_id, source, coalesce(source, 'null') AS s, coalesce(doc_id::VARCHAR, 'null') AS id,
     {_UNIT.format("concat_ws('|', 0, 1, coalesce(doc_id::VARCHAR, 'null'))")} AS u FROM documents),
-counted AS (SELECT doc_id, source, id, rate, (SELECT count(*) FROM cdf WHERE cdf.s = drawn.s AND u > c)::INTEGER AS copies FROM drawn JOIN rates USING (s))
-SELECT doc_id, source, rate, copies, copy::INTEGER AS copy, md5(concat_ws('|', 'order0', id, copy)) AS order_key
+counted AS (SELECT doc_id, source, id, rate, (SELECT count(*) FROM cdf WHERE cdf.s = drawn.s AND u > c)::BIGINT AS copies FROM drawn JOIN rates USING (s))
+SELECT doc_id, source, rate, copies, copy::BIGINT AS copy, md5(concat_ws('|', 'order0', id, copy)) AS order_key
 FROM counted, unnest(range(copies)) u(copy)
 """
 
 OP3 = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
     WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0 AND len(embedding) > 0 AND vec_id IS NOT NULL),
 s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
     FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v))

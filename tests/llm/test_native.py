@@ -38,7 +38,7 @@ def brute_rule(url):
 
 
 def test_url_rules(spark):
-    urls = ["http://example.com/en/x", "https://WWW.Example.com/en/", "http://a.net/fr/1?x=/es/", "http://net/es/", "http://com", "com/en/", None, "", "x://y#z/://", "http://notexample.com/en/", "http://a.b.example.com/en/q#f", "http://É.com/", "http://evil.org/en/"]
+    urls = ["http://example.com/en/x", "https://WWW.Example.com/en/", "http://a.net/fr/1?x=/es/", "http://net/es/", "http://com", "com/en/", None, "", "x://y#z/://", "http://notexample.com/en/", "http://a.b.example.com/en/q#f", "http://É.com/", "http://evil.org/en/", "http://" + "a." * 10_000 + "net/es/x", "http://" + "a" * 100_000 + ".com/"]
     pages = spark.createDataFrame([(i, u, "host?") for i, u in enumerate(urls + urls[:2])], "page_id int, url string, host string")
     got = url_filter.judge(pages, URL_RULES).select("url", "host", "path", "rule", "verdict").collect()
     assert Counter(map(tuple, got)) == Counter((u, *brute_rule(u)) for u in urls + urls[:2])
@@ -127,6 +127,13 @@ def test_mixing(spark, docs):
     assert odd.where("source is null").count() >= 0 and mixing.mix(docs.limit(0), {}).count() == 0
 
 
+def test_a_document_with_many_copies(spark):
+    """One document among 20,000 that is to be half of all: its copies are made a part at a time and none is lost."""
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 7, "rare").otherwise("rest").alias("source"))
+    out = [r for r in mixing.mix(docs, {}).select("doc_id", "copies", "copy").collect() if r.doc_id == 7]
+    assert abs(len(out) - 10_000) < 600 and sorted(r.copy for r in out) == list(range(out[0].copies))
+
+
 def test_poisson_is_inverted(spark):
     means = [0.3, 2.0, 700.0]
     for mean in means:
