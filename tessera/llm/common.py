@@ -21,12 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a fresh local one only where none is set."""
+    """The shared folder the cluster names; a fresh local one only where a local session names none."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return configured or current
     if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("on a cluster spark.checkpoint.dir must name a shared folder")
         configured = tempfile.mkdtemp(prefix="tessera-checkpoint-")
     spark.sparkContext.setCheckpointDir(configured)
     return configured

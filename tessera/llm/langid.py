@@ -12,9 +12,11 @@ to escape lengths. A text is scored by array look-ups over its bytes.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,10 @@ TRAIN_DOCS, TRAIN_BYTES = 400, 2_000_000
 #: Bytes scored at once.
 BLOCK = 1 << 18
 UNKNOWN = "und"
+#: Training texts of a language that tell what bits a byte its texts need.
+SPREAD_DOCS = 100
+#: A text of ``JUDGED_BYTES`` or more that needs ``EXCESS`` times the bits a byte of this quantile of its language's texts is not in it.
+QUANTILE, EXCESS, JUDGED_BYTES = 0.95, 1.5, 100
 _LETTER = re.compile(r"[^\W\d_]")
 _PAD = b"\n" * ORDER
 
@@ -86,6 +92,7 @@ class Model:
     costs: list[np.ndarray]
     contexts: list[Table]
     escapes: list[np.ndarray]
+    limits: tuple[float, ...] = ()
 
     def bits(self, data: np.ndarray) -> np.ndarray:
         """Code lengths (bytes x languages) of the bytes after the first ``ORDER``, which are context."""
@@ -166,7 +173,13 @@ def fit(pairs: list[tuple[str, str]]) -> Model:
         costs.append(cost.astype(np.float32))
         contexts.append(Table.of(ctx))
         escapes.append(escape.astype(np.float32))
-    return Model(languages, grams, costs, contexts, escapes)
+    model = Model(languages, grams, costs, contexts, escapes)
+    limits = []
+    for i, lang in enumerate(languages):
+        raw = [r for r in (t.lower().encode("utf-8", "surrogatepass") for t in islice((t for l_, t in pairs if l_ == lang and len(t) >= JUDGED_BYTES), SPREAD_DOCS)) if r]
+        own = np.array([r[i] for r in model.totals(raw)]) / [len(r) for r in raw] if raw else np.full(1, np.inf)
+        limits.append(float(EXCESS * np.quantile(own, QUANTILE)) if raw else math.inf)
+    return replace(model, limits=tuple(limits))
 
 
 def train(docs: DataFrame, lang: str = "lang", docs_per_language: int = TRAIN_DOCS, bytes_per_language: int = TRAIN_BYTES) -> Model | None:
@@ -191,6 +204,18 @@ def predict(texts: list[str | None], model: Model | None) -> list[tuple[str, flo
     return out
 
 
+def spoken(texts: list[str | None], model: Model | None, min_score: float = 0.5) -> list[bool]:
+    """Which texts are in some language: ``predict`` names one with at least ``min_score``, and it codes the text as it does its own.
+
+    Texts under ``JUDGED_BYTES`` are not judged by their code length, which varies too much.
+    """
+    limit = dict(zip(model.languages, model.limits, strict=True)) if model else {}
+    return [
+        lang != UNKNOWN and score >= min_score and (bits <= limit[lang] or len(text.lower().encode("utf-8", "surrogatepass")) < JUDGED_BYTES)
+        for text, (lang, score, bits) in zip(texts, predict(texts, model), strict=True)
+    ]
+
+
 def identify(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, held_out, lang_pred, score, bits_per_byte) of each row of ``docs``.
 

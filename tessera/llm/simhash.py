@@ -31,6 +31,8 @@ SEED = 42
 BITS = 64
 #: Fingerprints a bucket may have before it is split.
 CAP = 2048
+#: Shares a node's neighbours are dealt into.
+SALTS = 8
 #: Min-wise views of near_duplicates(): VIEWS keys of ROWS minima each.
 VIEWS, ROWS = 48, 6
 #: Shingle hashes of one candidate cluster that a worker holds in memory; more go to a file.
@@ -119,7 +121,10 @@ def _grouped(batches: Iterator[pa.RecordBatch], groups: Callable[[np.ndarray], l
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``edges`` (columns a, b); root is the component's smallest node."""
+    """(node, root) for every node of ``edges`` (columns a, b); root is the component's smallest node.
+
+    A node with very many neighbours meets its minimum under ``SALTS`` salts.
+    """
     def settle(e: DataFrame) -> tuple[DataFrame, tuple]:
         e = cut(e.where("a <> b").distinct())
         return e, tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -128,13 +133,15 @@ def components(edges: DataFrame) -> DataFrame:
     while mark[0]:
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m")).select("n", F.least("n", "m").alias("m"))
-        large, _ = settle(both.join(least, F.col("a") == F.col("n")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
+        every = least.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        ahead = both.where("b > a").withColumn("s", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+        large, _ = settle(ahead.join(every, (F.col("a") == F.col("n")) & (F.col("s") == F.col("t"))).select(F.col("b").alias("a"), F.col("m").alias("b")))
         least = large.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m"))
         small = large.join(least, F.col("a") == F.col("n")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        step, new = settle(small.union(least.select(F.col("n").alias("a"), F.col("m").alias("b"))))
+        now, new = settle(small.union(least.select(F.col("n").alias("a"), F.col("m").alias("b"))))
         if new == mark:
             break
-        now, mark = step, new
+        mark = new
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import os
 import random
+import time
 
 import numpy as np
 import pytest
@@ -105,6 +106,42 @@ def test_toxic_spans(spark, tagger):
     assert 0 < toxicity.tag(["a b"], toxicity.fit([]))[0][0] < 1
 
 
+def test_spans_are_offsets_of_the_text(tagger):
+    """Lower-casing some letters changes their number; offsets are those of the text as it is."""
+    for text in ("İİİ filth here", "w1 VILE İ filth w2"):
+        spans = toxicity.tag([text], tagger)[0][1]
+        assert spans and all({w.lower() for w in toxicity.split(text[s["start"] : s["end"]])} <= {"vile", "filth", "scumbag"} for s in spans)
+
+
+def test_transitions_are_fitted(tagger):
+    """The chain learnt from single toxic words among plain ones: texts start plain and stay plain."""
+    assert tagger.trans.shape == (2, 2) and tagger.start.shape == (2,)
+    assert tagger.start[0] > tagger.start[1] and tagger.trans[0, 0] > tagger.trans[1, 1]
+
+
+def test_other_labels_take_no_part(spark):
+    docs = spark.createDataFrame([(i, f"plain words {i} here" if i % 2 else f"vile filth {i}") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2 if i < 40 else 7 if i < 50 else None) for i in range(60)], "doc_id long, toxic int")
+    assert toxicity.train(docs, labels).theta.any()
+    assert 0 < toxicity.tag(["x"], toxicity.train(docs, labels.limit(0)))[0][0] < 1
+
+
+def test_a_sample_has_all_labels(spark):
+    from tessera.llm.folds import sample
+
+    docs = spark.range(9000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.concat(F.lit("l"), F.col("id") % 1500).alias("lang"))
+    pairs = sample(docs.select("doc_id", "lang"), docs, "lang", 3, 15)
+    assert len({lang for lang, _ in pairs}) > 1490  # a label with all six documents held out has none to learn
+    assert max(__import__("collections").Counter(lang for lang, _ in pairs).values()) <= 3
+    per = {}
+    for lang, text in pairs:
+        per[lang] = per.get(lang, 0) + len(text)
+    assert max(per.values()) <= 15
+    many = docs.union(docs.where("doc_id < 3")).withColumn("lang", F.lit("x"))
+    first = sample(many.select("doc_id", "lang"), many, "lang", 50, 10**6)
+    assert len(first) == len(set(first)) == 50
+
+
 def test_toxicity_held_out(spark):
     folder = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
@@ -179,6 +216,57 @@ def test_article_text(spark):
     assert all(r.n_chars == len(r.text) for r in got)
 
 
+@pytest.mark.parametrize("page", ["<a " * 300_000, "<b>" * 150_000 + "</i>" * 150_000, "<p>" * 300_000, "<a \"'" * 200_000, "<!--" * 250_000, "</" * 400_000 + ">", "<td><tr>" * 120_000, "&" * 900_000, "<div class='" + "ad " * 300_000 + "'>x", "<li hidden " + " " * 900_000 + ">y"])
+def test_hostile_pages_take_linear_time(page):
+    begin = time.perf_counter()
+    html_text.lines_of(page)
+    assert time.perf_counter() - begin < 5
+
+
+def test_class_tokens_mark_as_a_whole():
+    marks = "cookie-notice ad sidebar site-header post-comments related-posts adSlot3 navbar"
+    assert all(map(html_text.is_mark, marks.split()))
+    assert not any(map(html_text.is_mark, "side-by-side social-history notice-of-findings article-header article-body heading gradient".split()))
+    kept = '<article><p>a<div class="side-by-side"><p>b</div><div class="social-history"><p>c</div><div id="notice-of-findings"><p>d</div></article>'
+    assert html_text.lines_of(kept) == (["a", "b", "c", "d"], [html_text.ARTICLE] * 4)
+
+
+def test_pages_against_a_plain_version(spark):
+    """Pages of random paragraphs: in an article all stay; in main or bare, those shared with the nearest other page go."""
+    rng = random.Random(11)
+    pages = []
+    for i in range(160):
+        lines = [f"line {rng.randrange(12)}" for _ in range(rng.randrange(1, 9))]
+        frame = rng.choice(["article", "main", "body", "body"])
+        pages.append((i, f"h{rng.randrange(3)}.x", f"/{rng.choice('abc')}/{rng.choice('abc')}{rng.randrange(40)}", frame, lines))
+    pages += [(200 + i, h, p + "9", f, x) for i, (_, h, p, f, x) in enumerate(pages[:8])]  # copies at other paths
+    rows = [(i, f"http://{h}{p}", f"<{f}>" + "".join(f"<p>{x}" for x in lines) + f"</{f}>") for i, h, p, f, lines in pages]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id int, url string, html string").repartition(5)).collect()}
+    path_of = {}
+    for _, h, p, _, lines in pages:
+        path_of[h, tuple(lines)] = min(path_of.get((h, tuple(lines)), p), p)
+    for i, h, p, frame, lines in pages:
+        if frame == "article":
+            assert got[i] == "\n".join(lines)
+            continue
+        own = path_of[h, tuple(lines)]
+        others = sorted((q, x) for (g, x), q in path_of.items() if g == h and x != tuple(lines))
+        # copies share a path only by chance, so neighbours are told by path
+        before, after = [x for x in others if x[0] < own], [x for x in others if x[0] > own]
+        if len({q for q, _ in others} | {own}) != len(others) + 1:
+            continue
+        near = [x for x in (before[-1:] or [None])[:1] + (after[:1] or [None]) if x]
+        best = max(near, key=lambda x: len(os.path.commonprefix([x[0], own])))[1]
+        table = [[0] * (len(best) + 1) for _ in range(len(lines) + 1)]
+        for a in range(len(lines)):
+            for b in range(len(best)):
+                table[a + 1][b + 1] = table[a][b] + 1 if lines[a] == best[b] else max(table[a][b + 1], table[a + 1][b])
+        kept = got[i].split("\n") if got[i] else []
+        assert len(kept) == len(lines) - table[-1][-1], (i, lines, best, kept)
+        rest = iter(lines)
+        assert all(x in rest for x in kept)
+
+
 def test_longest_common_subsequence(monkeypatch):
     rng = random.Random(1)
     for limit in (1 << 28, 6):
@@ -201,13 +289,6 @@ def test_neighbours_across_ranges(spark):
     assert {r.page_id: r.text for r in html_text.extract(df).collect()} == {i: f"Own {i}" for i, _, _ in rows}
 
 
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    assert out.columns == ["doc_id", "ids", "n_tokens"] and out.count() > 50
-
-
 def test_pipeline_stages_take_odd_rows(spark):
     import corpus_pipeline
 
