@@ -25,6 +25,9 @@ _SHORT = re.compile(r"\s*(?:([+-]?(?:\d+\.?\d*|\.\d+)[eE][+-]?\d+)|([+-]?\d*\.\d
 _QUOTED = re.compile(r"""\s*(?:"((?:[^"\\]|\\.)*)"|'((?:[^'\\]|\\.)*)')(?:\^\^<([^>]*)>|@([A-Za-z]+(?:-[A-Za-z0-9]+)*))?""", re.S)
 
 
+_BLANK = re.compile(r"_:(\w(?:[\w.-]*[\w-])?)")
+
+
 class CdtError(ValueError):
     """A literal that is not a list or map, or an argument out of range."""
 
@@ -48,6 +51,8 @@ def _item(text: str, at: int) -> tuple[object, int]:
     if m := _QUOTED.match(text, at):
         value = R.unescape(m[1] if m[1] is not None else m[2])
         return (R.Literal(value, R.LANG_STRING, R.language(m[4])) if m[4] else R.Literal(value, m[3] or R.STRING)), m.end()
+    if m := _BLANK.match(text, at):  # a label ends before the comma or bracket that follows
+        return R.Blank(m[1]), m.end()
     try:
         return R.parse_nt(text, at)
     except ValueError as e:
@@ -126,6 +131,37 @@ def literal(value: object) -> R.Term:
     return R.Literal(str(value), XSD + "integer") if isinstance(value, int) else value
 
 
+def relabel(text: str, scope: str) -> str:
+    """A list or map literal whose blank node labels are prefixed by a scope; an ill-formed one is left as it is."""
+
+    def moved(t: object) -> object:
+        if isinstance(t, R.Blank):
+            return R.Blank(scope + t.value)
+        return R.Literal(relabel(t.value, scope), t.datatype) if isinstance(t, R.Literal) and t.datatype in (LIST, MAP) else t
+
+    try:
+        value = parse(text)
+    except (CdtError, ValueError):
+        return text
+    return write([moved(x) for x in value] if isinstance(value, list) else {k: moved(v) for k, v in value.items()})
+
+
+@cache
+def relabel_udf():
+    @F.pandas_udf("string")
+    def run(texts: pd.Series, scopes: pd.Series) -> pd.Series:
+        return pd.Series([x if x is None else relabel(x, s) for x, s in zip(texts, scopes, strict=True)], dtype=object)
+
+    return run
+
+
+def relabelled(t: Column, scope: Column) -> Column:
+    """A TERM whose blank nodes inside a list or map literal get the scope; only literals with some go through Python."""
+    some = t["dt"].isin(LIST, MAP) & F.contains(t["v"], F.lit("_:"))
+    text = F.coalesce(relabel_udf()(F.when(some, t["v"]), scope), t["v"])
+    return F.when(some, R.struct(R.LITERAL, text, t["dt"])).otherwise(t)
+
+
 def equal(a: object, b: object) -> bool | None:
     """``=`` of items: None is an error (two different blank nodes, literals of unknown datatypes)."""
     if a is None or b is None:
@@ -332,8 +368,7 @@ def _udf(name: str, n: int):
                 rows.append((None,) * 4)
         return pd.DataFrame(rows, columns=["k", "v", "dt", "lang"])
 
-    run_typed = run
-    return run_typed
+    return run
 
 
 @cache

@@ -12,12 +12,13 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessera import terms as R
 from tessera.functions import cdt
 from tessera.functions.aggregates import aggregate
 from tessera.functions.expressions import Expressions, UnsupportedError
-from tessera.functions.values import BOOL, IRI, STR, TERM, Val, from_term, lift, sort_keys, truth
+from tessera.functions.values import BOOL, IRI, STR, TERM, Val, from_term, kind_of, lift, sort_keys, truth
 from tessera.operators import relation as rel
 from tessera.operators.paths import Paths
 from tessera.operators.relation import Bound, Relation, new_name
@@ -138,10 +139,8 @@ class Compiler:
     def star(self, s: object, triples: list[Triple], graph: object) -> Relation | None:
         """One scan for patterns of one subject; None if no mapped table has all their predicates."""
         types = {t.o.value for t in triples if t.p.value == TYPE and isinstance(t.o, R.Iri)}
-        name = graph if isinstance(graph, str) else None
-        if graph is None and self.data.default_graphs is not None:
-            return None
-        tables = self.data.mapping.candidates({t.p.value for t in triples}, types, name)
+        graphs = self.data.mapped_names() if isinstance(graph, Var) else self.data.mapped(graph)
+        tables = self.data.mapping.candidates({t.p.value for t in triples}, types, graphs)
         if isinstance(s, R.Iri):
             tables = [t for t in tables if s.value.startswith(t.prefix)]
         if not tables:
@@ -256,9 +255,9 @@ class Compiler:
 
     def graph_names(self, g: Var) -> Relation:
         b = Bound(new_name(), IRI)
-        df = self.data.named().select(F.col("g").alias(b.name)).distinct()
+        df = replace(self.data, mapping=None).named().select(F.col("g").alias(b.name)).distinct()
         if self.data.mapping:
-            df = df.union(self.spark.createDataFrame([(t.graph,) for t in self.data.mapping.tables], "g string")).distinct()
+            df = df.union(self.spark.createDataFrame([(x,) for x in self.data.mapped_names()], "g string")).distinct()
         return Relation(df, {g.name: b})
 
     def filter(self, r: Relation, e: A.Node, graph: object) -> Relation:
@@ -373,7 +372,13 @@ class Compiler:
             if silent:
                 return self.unit()
             raise UnsupportedError(f"no dataset is registered for endpoint <{endpoint}>")
-        return Compiler(self.data.endpoints[endpoint]).compile(child)
+        found = self.data.endpoints[endpoint]
+        return rel.join(self.given(found), self.compile(child)) if isinstance(found, DataFrame) else Compiler(found).compile(child)
+
+    def given(self, df: DataFrame) -> Relation:
+        """A frame's rows as solutions; its columns are the variables, null is unbound."""
+        vs = {f.name: Bound(new_name(), TERM if isinstance(f.dataType, StructType) else kind_of(f.dataType), None, True) for f in df.schema.fields}
+        return Relation(df.select(*[F.col(n).alias(b.name) for n, b in vs.items()]), vs)
 
     def group(self, n: A.Group, graph: object) -> Relation:
         r = self.compile(n.child, graph)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tessera import terms as R
 from tessera.functions.registry import Registry
 from tessera.functions.values import lift
+from tessera.shared import cut
 from tessera.sources.mapped import TYPE, Mapping
 
 QUADS = f"s {R.TERM}, p string, o {R.TERM}, g string"
@@ -22,8 +23,10 @@ class Dataset:
     """An immutable dataset version.
 
     ``quads`` has columns s, p, o, g (s and o TERM, p and g IRIs as text, g null in the default graph).
+    Mapped tables are part of the default graph, and each is a named graph of its own.
     ``default_graphs`` makes named graphs the default one (FROM); ``named_graphs`` limits GRAPH.
-    ``endpoints`` maps SERVICE IRIs to datasets. ``star`` says whether quoted triples can occur. With
+    ``endpoints`` maps SERVICE IRIs to datasets, or to frames whose rows are solutions: their columns are
+    the variables (numbers, texts, booleans, timestamps, or TERM structs), to be used as SERVICE <iri> {}. ``star`` says whether quoted triples can occur. With
     ``optimize`` off, queries are compiled as they are written (for differential tests).
     """
 
@@ -31,7 +34,7 @@ class Dataset:
     quads: DataFrame | None = None
     mapping: Mapping | None = None
     registry: Registry = field(default_factory=Registry)
-    endpoints: dict[str, Dataset] = field(default_factory=dict)
+    endpoints: dict[str, Dataset | DataFrame] = field(default_factory=dict)
     base: str = ""
     star: bool = True
     default_graphs: tuple[str, ...] | None = None
@@ -53,31 +56,51 @@ class Dataset:
     def with_quads(self, quads: DataFrame) -> Dataset:
         return replace(self, quads=quads)
 
+    def mapped(self, name: str | None) -> list[str]:
+        """The mapped tables' graphs that a named graph, or (None) the default graph, is made of.
+
+        A table is in the default graph and in a graph of its own; FROM and FROM NAMED choose among the latter.
+        """
+        graphs = [t.graph for t in self.mapping.tables] if self.mapping else []
+        if name is None:
+            return graphs if self.default_graphs is None else [g for g in graphs if g in self.default_graphs]
+        return [g for g in graphs if g == name and (self.named_graphs is None or g in self.named_graphs)]
+
+    def mapped_names(self) -> list[str]:
+        """The mapped tables' graphs that a GRAPH variable ranges over."""
+        return [t.graph for t in self.mapping.tables if self.named_graphs is None or t.graph in self.named_graphs] if self.mapping else []
+
+    def _tables(self, graphs: list[str], named: bool) -> list[DataFrame]:
+        return [table_quads(t, self.mapping, t.graph if named else None) for t in (self.mapping.tables if self.mapping else ()) if t.graph in graphs]
+
+    def _union(self, frames: list[DataFrame]) -> DataFrame:
+        return reduce(DataFrame.unionByName, frames) if frames else self.spark.createDataFrame([], QUADS)
+
     def all_quads(self) -> DataFrame:
-        """Everything as quads; mapped tables are in the default graph."""
-        frames = [] if self.quads is None else [self.quads]
-        if self.mapping:
-            frames += [table_quads(t, self.mapping) for t in self.mapping.tables]
-        if not frames:
-            return self.spark.createDataFrame([], QUADS)
-        return reduce(DataFrame.unionByName, frames)
+        """Everything as quads, each once: mapped tables in their own graphs."""
+        return self._union([*([] if self.quads is None else [self.quads]), *self._tables([t.graph for t in self.mapping.tables] if self.mapping else [], True)])
 
     def active(self, graph: str | None) -> DataFrame:
         """(s, p, o) of a named graph or (None) the default one; a merge of graphs is a set."""
-        quads = self.all_quads()
-        if graph is not None:
-            if self.named_graphs is not None and graph not in self.named_graphs:
-                return quads.where("false").select("s", "p", "o")
-            return quads.where(F.col("g") == graph).select("s", "p", "o")
-        if self.default_graphs is None:
-            return quads.where("g is null").select("s", "p", "o")
-        found = quads.where(F.col("g").isin(*self.default_graphs) if self.default_graphs else F.lit(False)).select("s", "p", "o")
-        return found.distinct() if len(self.default_graphs) > 1 else found
+        frames = self._tables(self.mapped(graph), False)
+        if self.quads is not None:
+            if graph is not None:
+                wanted = F.col("g") == graph if self.named_graphs is None or graph in self.named_graphs else F.lit(False)
+            elif self.default_graphs is None:
+                wanted = F.col("g").isNull()
+            else:
+                wanted = F.col("g").isin(*self.default_graphs) if self.default_graphs else F.lit(False)
+            frames.append(self.quads.where(wanted))
+        found = self._union(frames).select("s", "p", "o")
+        return found.distinct() if graph is None and len(self.default_graphs or ()) > 1 else found
 
     def named(self) -> DataFrame:
         """(s, p, o, g) of all named graphs a GRAPH variable ranges over."""
-        quads = self.all_quads().where("g is not null")
-        return quads if self.named_graphs is None else quads.where(F.col("g").isin(*self.named_graphs) if self.named_graphs else F.lit(False))
+        frames = self._tables(self.mapped_names(), True)
+        if self.quads is not None:
+            quads = self.quads.where("g is not null")
+            frames.append(quads if self.named_graphs is None else quads.where(F.col("g").isin(*self.named_graphs) if self.named_graphs else F.lit(False)))
+        return self._union(frames)
 
     # access by pattern
 
@@ -104,24 +127,64 @@ class Dataset:
         return not self.match(*pattern).isEmpty()
 
     def graphs(self) -> DataFrame:
+        """The distinct names of the graphs that are not the default one."""
         return self.all_quads().where("g is not null").select("g").distinct()
 
     def rdf_list(self, head: R.Term, graph: str | None = None) -> list[R.Term]:
-        """The members of an RDF collection, in order; a loop or a fork is an error."""
+        """The members of an RDF collection, in order; a loop or a fork is an error.
+
+        Cells learn their distance from the head by pointer doubling: a list of n cells takes log n joins.
+        """
+        nil = R.Iri(R.RDF + "nil")
+        if head == nil:
+            return []
+        rows = self.list_cells(graph)
+        at = rows.where(F.col("cell") == R.const(head)).select("list", "place").collect()
+        if len(at) == 1:
+            own = rows.where((F.col("list") == R.const(R.from_row(at[0].list))) & (F.col("place") >= at[0].place)).orderBy("place").collect()
+            if [r.place - at[0].place for r in own] == list(range(len(own))) and own[-1].end is not None and R.from_row(own[-1].end) == nil:
+                return [R.from_row(r.member) for r in own]
+        raise ValueError(f"{R.nt(head)} is not the head of a list")
+
+    def list_cells(self, graph: str | None = None) -> DataFrame:
+        """(list, cell, place, member, end) of each cell of all RDF collections of a graph, under each list's head.
+
+        ``end`` is what the last cell points to (rdf:nil in a whole list), null elsewhere. Cells in a loop
+        have no head and are left out; a cell with two members or successors gives a place twice.
+        """
         cells = self.active(graph).where(F.col("p").isin(R.RDF + "first", R.RDF + "rest"))
-        out, seen, at = [], set(), head
-        while at != R.Iri(R.RDF + "nil"):
-            if at in seen:
-                raise ValueError("the list has a loop")
-            seen.add(at)
-            rows = cells.where(F.col("s") == R.const(at)).select("p", "o").collect()
-            first = [R.from_row(r.o) for r in rows if r.p == R.RDF + "first"]
-            rest = [R.from_row(r.o) for r in rows if r.p == R.RDF + "rest"]
-            if len(first) != 1 or len(rest) != 1:
-                raise ValueError(f"{R.nt(at)} is not a list cell")
-            out.append(first[0])
-            at = rest[0]
-        return out
+        first = cells.where(F.col("p") == R.RDF + "first").select(F.col("s").alias("cell"), F.col("o").alias("member"))
+        rest = cells.where(F.col("p") == R.RDF + "rest").select(F.col("s").alias("cell"), F.col("o").alias("next"))
+        back = rest.select(F.col("next").alias("cell"), F.col("cell").alias("up"))
+        # each cell with an ancestor ``up`` at ``place`` steps; heads have none above
+        reach = cut(first.select("cell").distinct().join(back, "cell", "left").select("cell", F.coalesce("up", "cell").alias("up"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("place")))
+        heads = cut(reach.where("place = 0").select(F.col("up").alias("head")))
+        most = 2 * reach.count()
+        while True:
+            step = reach.select(F.col("cell").alias("up"), F.col("up").alias("above"), F.col("place").alias("more"))
+            reach = cut(reach.join(step, "up").select("cell", F.col("above").alias("up"), (F.col("place") + F.col("more")).alias("place")).distinct())
+            open_ = reach.join(heads, F.col("up") == F.col("head"), "left_anti").agg(F.max("place")).first()[0]
+            if open_ is None or open_ > most:  # beyond the number of cells: a loop
+                break
+        placed = reach.join(heads, F.col("up") == F.col("head")).select("cell", F.col("up").alias("list"), "place").join(first, "cell")
+        ends = rest.join(first.select(F.col("cell").alias("next")), "next", "left_anti").select("cell", F.col("next").alias("end"))
+        return placed.join(ends, "cell", "left").select("list", "cell", "place", "member", "end")
+
+    def list_literals(self, graph: str | None = None) -> DataFrame:
+        """(list, literal): each RDF collection of a graph as a list literal; those that are no whole list are left out."""
+        member = F.when((F.col("member")["dt"] == R.XSD + "integer"), F.col("member")["v"]).otherwise(R.nt_column(F.col("member")))
+        rows = self.list_cells(graph).groupBy("list").agg(
+            F.sort_array(F.collect_list(F.struct("place", member.alias("text")))).alias("cells"), F.max(F.coalesce(F.col("end")["v"] == R.RDF + "nil", F.lit(False))).alias("whole")
+        )
+        rows = rows.where(F.col("whole") & (F.transform("cells", lambda c: c["place"]) == F.sequence(F.lit(0).cast("long"), F.size("cells") - F.lit(1).cast("long"))))
+        text = F.concat(F.lit("["), F.array_join(F.transform("cells", lambda c: c["text"]), ", "), F.lit("]"))
+        return rows.select("list", R.struct(R.LITERAL, text, F.lit(R.CDT + "List")).alias("literal"))
+
+    def list_from_head(self, head: R.Term, graph: str | None = None) -> R.Literal:
+        """An RDF collection as a list literal."""
+        from tessera.functions import cdt
+
+        return cdt.literal(self.rdf_list(head, graph))
 
     def rdf_sequence(self, node: R.Term, graph: str | None = None) -> list[R.Term]:
         """The members rdf:_1, rdf:_2 ... of a container, in order."""
@@ -179,8 +242,8 @@ class Dataset:
         return apply(self, text)
 
 
-def table_quads(t, mapping: Mapping) -> DataFrame:
-    """A mapped table as quads of the default graph: one array of triples a row, exploded."""
+def table_quads(t, mapping: Mapping, graph: str | None = None) -> DataFrame:
+    """A mapped table as quads of a graph: one array of triples a row, exploded."""
     from tessera.functions.values import IRI, Val
     from tessera.operators.compiler import list_literal
 
@@ -194,4 +257,4 @@ def table_quads(t, mapping: Mapping) -> DataFrame:
         parts.append(triple(p, lift(Val(IRI, F.concat(F.lit(mapping.table(target).prefix), F.col(c).cast("string"))))))
     s = R.struct(R.IRI_, F.concat(F.lit(t.prefix), t.key.cast("string")))
     rows = t.df.select(s.alias("s"), F.explode(F.array(*parts)).alias("x")).select("s", "x.p", "x.o")
-    return rows.where("o is not null").withColumn("g", F.lit(None).cast("string"))
+    return rows.where("o is not null").withColumn("g", F.lit(graph).cast("string"))

@@ -68,9 +68,9 @@ class TableMap:
 class Mapping:
     tables: tuple[TableMap, ...]
 
-    def candidates(self, predicates: set[str], types: set[str], graph: str | None) -> list[TableMap]:
-        """The tables that have all these predicates (and a class among ``types``)."""
-        return [t for t in self.tables if predicates <= {TYPE, *t.columns(), *t.references()} and types <= {t.type} and graph in (None, t.graph)]
+    def candidates(self, predicates: set[str], types: set[str], graphs: list[str]) -> list[TableMap]:
+        """The tables of these graphs that have all these predicates (and a class among ``types``)."""
+        return [t for t in self.tables if t.graph in graphs and predicates <= {TYPE, *t.columns(), *t.references()} and types <= {t.type}]
 
     def table(self, name: str) -> TableMap:
         return next(t for t in self.tables if t.name == name)

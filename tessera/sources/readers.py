@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import terms as R
+from tessera.functions import cdt
 from tessera.sources import rdfxml, turtle
 from tessera.sources.dataset import QUADS
 
@@ -89,7 +90,7 @@ def lines(rows: DataFrame, scope: Column, uescapes: bool = True) -> DataFrame:
     return rows.select(
         term_column(F.col("s"), F.col("scope"), uescapes).alias("s"),
         iri(F.col("p")).alias("p"),
-        term_column(F.col("o"), F.col("scope"), uescapes).alias("o"),
+        cdt.relabelled(term_column(F.col("o"), F.col("scope"), uescapes), F.col("scope")).alias("o"),
         F.when(F.col("g") != "", F.substring("g", F.lit(2), F.length("g") - 2)).alias("g"),
     )
 
@@ -121,14 +122,22 @@ def parse(text: str, form: str, base: str = "", scope: str = "") -> list[tuple]:
     """(s, p, o, g) driver-side terms of a document in memory."""
     form = MEDIA.get(form, form)
     if form == "rdfxml":
-        return rdfxml.parse(text, base, scope)
+        return _lists(rdfxml.parse(text, base, scope), scope)
     if form in ("ntriples", "nquads"):
         out = []
         for line in text.splitlines():
             if line.strip() and not line.lstrip().startswith("#"):
                 out.append(_line(line, form))
         return list(dict.fromkeys(out))
-    return turtle.parse(text, base, form == "trig", scope)
+    return _lists(turtle.parse(text, base, form == "trig", scope), scope)
+
+
+def _lists(quads: list[tuple], scope: str) -> list[tuple]:
+    """Quads whose list and map literals name the same blank nodes as the document does."""
+    if not scope:
+        return quads
+    own = lambda t: R.Literal(cdt.relabel(t.value, scope), t.datatype) if isinstance(t, R.Literal) and t.datatype in (cdt.LIST, cdt.MAP) and "_:" in t.value else t
+    return [tuple(map(own, q)) for q in quads]
 
 
 def _line(line: str, form: str) -> tuple:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera import terms as R
+from tessera.functions import cdt
 from tessera.functions.values import DBL, DEC, text_of_number
 from tessera.terms import INTEGERS, XSD
 
@@ -26,8 +27,9 @@ def canonical(t: Column) -> Column:
 
 
 def rename_blanks(t: Column, scope: Column | str) -> Column:
-    """A TERM whose blank node label is prefixed by a scope, so that labels of two sources don't meet."""
+    """A TERM whose blank node label is prefixed by a scope, so that labels of two sources don't meet; in list and map literals too."""
     scope = F.lit(scope) if isinstance(scope, str) else scope
+    t = cdt.relabelled(t, scope)
     quoted = F.regexp_replace(t["v"], F.lit(r"(?<=\s)_:(?=\w)"), F.concat(F.lit("_:"), scope))
     return F.when(t["k"] == R.BLANK, R.struct(R.BLANK, F.concat(scope, t["v"]))).when(t["k"] == R.TRIPLE, R.struct(R.TRIPLE, quoted)).otherwise(t)
 
