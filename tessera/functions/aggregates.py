@@ -94,7 +94,7 @@ def _avg(v: Val, distinct: bool) -> Made:
 
     def finish(s: Column) -> Val:
         whole = F.try_divide(s["whole"], s["n"].cast("decimal(20,0)")).cast(SPARK[DEC])
-        return Val(TERM, _number_of(s, whole, F.try_divide(s["real"], s["n"]), F.greatest(s["top"], F.lit(2)) if True else s["top"]))
+        return Val(TERM, _number_of(s, whole, F.try_divide(s["real"], s["n"]), F.greatest(s["top"], F.lit(2))))
 
     def guarded(s: Column) -> Val:
         return Val(TERM, F.when((s["n"] == 0) & (s["bad"] == 0), R.const(R.Literal("0", XSD + "integer"))).otherwise(finish(s).col))

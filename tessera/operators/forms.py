@@ -115,7 +115,7 @@ def construct(data, text: str | A.Query) -> DataFrame:
     q = parsed(data, text)
     r = solutions(data, q)
     if q.form == "CONSTRUCT":
-        template = tuple((t.s, t.p, t.o, None) for t in _blank_variables(q.what))
+        template = tuple((t.s, t.p, t.o, None) for t in q.what)
         return instantiate(r, template).select("s", "p", "o").distinct()
     if q.form != "DESCRIBE":
         raise ValueError("select() runs SELECT and ASK queries")
@@ -127,9 +127,4 @@ def construct(data, text: str | A.Query) -> DataFrame:
     return quads.join(wanted, quads.s == wanted.term, "left_semi").distinct()
 
 
-def _blank_variables(template: tuple) -> tuple:
-    """The short form's blank nodes, which are variables of its pattern, stay variables."""
-    return template
-
-
 __all__ = ["IRI", "ask", "construct", "select", "solutions", "term_frame", "terms"]

@@ -2,17 +2,16 @@
 
 A path is compiled to pairs (from, to), with the graph as a third column in GRAPH ?g. Sequence
 and alternative keep duplicates; ``?``, ``*`` and ``+`` give each pair once. A closure starts
-from a bound end where there is one; every round joins only the newest pairs with the step.
+from a bound end where there is one; every round joins only the newest pairs with the step, and only
+those that are new are written.
 """
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import functions as F
 
 from tessera import terms as R
-from tessera.functions.values import IRI, TERM, Val, from_term, lift
+from tessera.functions.values import IRI, TERM, Val, lift
 from tessera.operators import relation as rel
 from tessera.operators.relation import Bound, Relation, new_name
 from tessera.plans import algebra as A
@@ -20,6 +19,8 @@ from tessera.shared import cut
 from tessera.terms import Triple, Var
 
 FROM, TO = ".from", ".to"
+#: Rounds of a closure that are kept as frames of their own before they become one.
+ROUNDS = 16
 
 
 class Paths:
@@ -130,13 +131,17 @@ class Paths:
             step = Relation(cut(step.df), step.vars)
         reached = step if start is None else step.where(self.equals(step.vars[FROM], start))
         if p.most is None:
-            frontier = reached = Relation(cut(reached.df), reached.vars)
+            frontier = reached if start is None else Relation(cut(reached.df), reached.vars)
+            rounds = [frontier]
             while not frontier.df.isEmpty():
                 new = self.unique(self.chain(frontier.renamed(), step.renamed()))
-                new = self.except_(new, reached)
+                new = self.except_(new, rel.union(*rounds))
                 frontier = Relation(cut(new.df), new.vars)
-                reached = self.union_same(reached, frontier)
-                reached = Relation(cut(reached.df), reached.vars)
+                rounds.append(frontier)
+                if len(rounds) > ROUNDS:
+                    whole = rel.union(*rounds)
+                    rounds = [Relation(cut(whole.df), whole.vars)]
+            reached = rel.union(*rounds)
         if p.least:
             return reached
         zero = self.identity(graph, start, reached)
@@ -146,28 +151,23 @@ class Paths:
         names = list(a.vars)
         return rel.semi(a, Relation(b.df, b.vars), names, "left_anti")
 
-    def union_same(self, a: Relation, b: Relation) -> Relation:
-        return rel.union(a, b.keep(list(a.vars)))
-
     def identity(self, graph: object, start: R.Term | None, like: Relation) -> Relation:
         """Zero-length pairs: of the bound end, else of every node of the graph."""
         spark = self.c.spark
         if start is not None:
-            v = from_term(start)
             b = Bound(new_name(), TERM)
             df = spark.range(1).select(R.const(start).alias(b.name))
             r = Relation(df, {FROM: b, TO: b})
             if isinstance(graph, Var):
                 r = rel.join(r, self.c.graph_names(graph))
-            return r if v is not None else r
+            return r
         if isinstance(graph, Var):
             quads = self.c.data.named()
             nodes = quads.select(F.col("s").alias("t"), "g").union(quads.select("o", "g")).distinct()
             t, g = Bound(new_name(), TERM), Bound(new_name(), IRI)
             return Relation(nodes.select(F.col("t").alias(t.name), F.col("g").alias(g.name)), {FROM: t, TO: t, graph.name: g})
         b = Bound(new_name(), TERM)
-        nodes = self.c.data if graph is None else replace(self.c.data)
-        return Relation(nodes.graph_nodes(graph).select(F.col("term").alias(b.name)), {FROM: b, TO: b})
+        return Relation(self.c.data.graph_nodes(graph).select(F.col("term").alias(b.name)), {FROM: b, TO: b})
 
 
 __all__ = ["Paths", "Val"]

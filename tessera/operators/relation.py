@@ -106,14 +106,12 @@ def join(left: Relation, right: Relation, how: str = "inner", condition=None) ->
     sure = [n for n in shared if not left.vars[n].maybe and not right.vars[n].maybe]
     if how == "inner" and shared and not sure:
         return _split(left, right, shared)
-    scope = {**right.vars, **left.vars}
-    merged = {n: F.coalesce(left.vars[n].col, right.vars[n].col) for n in shared if left.vars[n].maybe}
-    on = [_compatible(left.vars[n], right.vars[n]) for n in shared]
-    if condition is not None:
-        vals = {n: b.val for n, b in scope.items()}
-        for n in merged:
-            vals[n] = Val(left.vars[n].kind, merged[n]) if left.vars[n].prefix is None else replace(left.vars[n].val, col=F.concat(F.lit(left.vars[n].prefix), merged[n].cast("string")), raw=(left.vars[n].prefix, merged[n]))
-        on.append(condition(vals))
+    if how == "left" and shared and not sure:
+        matched = join(left, right)
+        if condition is not None:
+            matched = matched.where(condition(matched.scope()))
+        return union(matched, unmatched(left, right, condition))
+    merged, on = _condition(left, right, shared, condition)
     df = left.df.join(right.df, reduce(lambda a, b: a & b, on), how) if on else left.df.crossJoin(right.df) if how == "inner" else left.df.join(right.df, F.lit(True), how)
     out = {n: b if n in left.vars else replace(b, maybe=b.maybe or how == "left") for n, b in {**right.vars, **left.vars}.items()}
     for n, c in merged.items():
@@ -123,26 +121,52 @@ def join(left: Relation, right: Relation, how: str = "inner", condition=None) ->
     return Relation(df.select(*dict.fromkeys(out[n].name for n in order)), {n: out[n] for n in order})
 
 
+def _condition(left: Relation, right: Relation, shared: list[str], condition) -> tuple[dict[str, Column], list[Column]]:
+    """What variables unbound on the left become, and the conjuncts of a compatible join."""
+    merged = {n: F.coalesce(left.vars[n].col, right.vars[n].col) for n in shared if left.vars[n].maybe}
+    on = [_compatible(left.vars[n], right.vars[n]) for n in shared]
+    if condition is not None:
+        vals = {n: b.val for n, b in {**right.vars, **left.vars}.items()}
+        for n in merged:
+            vals[n] = Val(left.vars[n].kind, merged[n]) if left.vars[n].prefix is None else replace(left.vars[n].val, col=F.concat(F.lit(left.vars[n].prefix), merged[n].cast("string")), raw=(left.vars[n].prefix, merged[n]))
+        on.append(condition(vals))
+    return merged, on
+
+
+def _part(r: Relation, n: str, bound: bool) -> Relation:
+    """The solutions with (then surely) or without a value for a variable; without, the variable is left out."""
+    b = r.vars[n]
+    if bound:
+        return Relation(r.df.where(b.col.isNotNull()), {**r.vars, n: replace(b, maybe=False)}) if b.maybe else r
+    return Relation(r.df.where(b.col.isNull() if b.maybe else F.lit(False)), {k: v for k, v in r.vars.items() if k != n})
+
+
 def _split(left: Relation, right: Relation, shared: list[str]) -> Relation:
     """An inner join without a surely bound key: bound rows meet by an equi-join, unbound ones by the rest."""
     n = shared[0]
-
-    def part(r: Relation, bound: bool) -> Relation:
-        b = r.vars[n]
-        if not b.maybe:
-            return r if bound else r.where(F.lit(False))
-        if bound:
-            return Relation(r.df.where(b.col.isNotNull()), {**r.vars, n: replace(b, maybe=False)})
-        return Relation(r.df.where(b.col.isNull()), {k: v for k, v in r.vars.items() if k != n})
-
-    pieces = [join(part(left, True), part(right, True))]
+    pieces = [join(_part(left, n, True), _part(right, n, True))]
     if left.vars[n].maybe:
-        pieces.append(join(part(left, False), right))
+        pieces.append(join(_part(left, n, False), right))
     if right.vars[n].maybe:
-        pieces.append(join(part(left, True), part(right, False)))
+        pieces.append(join(_part(left, n, True), _part(right, n, False)))
     return union(*pieces)
 
 
+def unmatched(left: Relation, right: Relation, condition=None) -> Relation:
+    """Left solutions without a compatible right one (that meets the condition); split by boundness as ``_split`` is."""
+    shared = [n for n in left.vars if n in right.vars]
+    left, right = unify(left, right, shared)
+    right = right.renamed()
+    if not shared or any(not left.vars[n].maybe and not right.vars[n].maybe for n in shared):
+        _, on = _condition(left, right, shared, condition)
+        return Relation(left.df.join(right.df, reduce(lambda a, b: a & b, on) if on else F.lit(True), "left_anti"), left.vars)
+    n = shared[0]
+    bound = unmatched(_part(left, n, True), _part(right, n, True), condition)
+    if right.vars[n].maybe:
+        bound = unmatched(bound, _part(right, n, False), condition)
+    return union(bound, unmatched(_part(left, n, False), right, condition)) if left.vars[n].maybe else bound
+
+
 def union(*relations: Relation) -> Relation:
     """All solutions of all relations (a bag), as one flat union."""
     names = list(dict.fromkeys(n for r in relations for n in r.vars))
@@ -166,16 +190,20 @@ def union(*relations: Relation) -> Relation:
 
 
 def minus(left: Relation, right: Relation) -> Relation:
-    """Left solutions without a compatible right one that shares a bound variable."""
+    """Left solutions without a compatible right one that shares a bound variable; split by boundness as ``_split`` is."""
     shared = [n for n in left.vars if n in right.vars]
     if not shared:
         return left
     left, right = unify(left, right, shared)
     right = right.keep(shared).renamed()
-    on = reduce(lambda a, b: a & b, [_compatible(left.vars[n], right.vars[n]) for n in shared])
-    if all(left.vars[n].maybe or right.vars[n].maybe for n in shared):
-        on = on & reduce(lambda a, b: a | b, [left.vars[n].col.isNotNull() & right.vars[n].col.isNotNull() for n in shared])
-    return Relation(left.df.join(right.df, on, "left_anti"), left.vars)
+    if any(not left.vars[n].maybe and not right.vars[n].maybe for n in shared):
+        on = reduce(lambda a, b: a & b, [_compatible(left.vars[n], right.vars[n]) for n in shared])
+        return Relation(left.df.join(right.df, on, "left_anti"), left.vars)
+    n = shared[0]
+    bound = minus(_part(left, n, True), _part(right, n, True))
+    if right.vars[n].maybe:
+        bound = minus(bound, _part(right, n, False))
+    return union(bound, minus(_part(left, n, False), right)) if left.vars[n].maybe else bound
 
 
 def semi(left: Relation, right: Relation, names: list[str], how: str = "left_semi") -> Relation:

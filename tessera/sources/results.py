@@ -8,8 +8,10 @@ import io
 import json
 import xml.etree.ElementTree as ET
 from collections.abc import Iterable
+from functools import cache
 from xml.sax.saxutils import escape, quoteattr
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -152,14 +154,30 @@ def tsv_lines(terms: DataFrame) -> DataFrame:
 
 
 def json_lines(terms: DataFrame) -> DataFrame:
-    """TERM columns as one JSON binding a line (column value), the members of a JSON result's bindings."""
+    """TERM columns as one JSON binding a line (column value), the members of a JSON result's bindings.
+
+    Only quoted triples, whose parts are terms themselves, go through Python.
+    """
 
     def term(c: Column) -> Column:
-        kind = F.when(c["k"] == R.IRI_, "uri").when(c["k"] == R.BLANK, "bnode").when(c["k"] == R.TRIPLE, "triple").otherwise("literal")
+        kind = F.when(c["k"] == R.IRI_, "uri").when(c["k"] == R.BLANK, "bnode").otherwise("literal")
         datatype = F.when((c["dt"] != STRING) & c["lang"].isNull(), c["dt"])
-        return F.when(c.isNotNull(), F.struct(kind.alias("type"), c["v"].alias("value"), datatype.alias("datatype"), c["lang"].alias("xml:lang")))
+        plain = F.to_json(F.struct(kind.alias("type"), c["v"].alias("value"), datatype.alias("datatype"), c["lang"].alias("xml:lang")))
+        return F.when(c["k"] == R.TRIPLE, _triple_json()(F.when(c["k"] == R.TRIPLE, c["v"]))).when(c.isNotNull(), plain)
+
+    members = [F.concat(F.lit(json.dumps(n) + ":"), term(F.col(n))) for n in terms.columns]
+    return terms.select(F.concat(F.lit("{"), F.concat_ws(",", *members), F.lit("}")).alias("value"))
+
+
+@cache
+def _triple_json():
+    """The JSON of quoted triples from their N-Triples text."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else json.dumps(_json_of(R.parse_nt(x, 0)[0]), separators=(",", ":")) for x in texts], dtype=object)
 
-    return terms.select(F.to_json(F.struct(*[term(F.col(n)).alias(n) for n in terms.columns])).alias("value"))
+    return run
 
 
 def negotiate(accept: str, media: dict[str, str] = MEDIA, default: str = "srj") -> str:
