@@ -2,7 +2,8 @@
 
 A list literal is ``[item, ...]`` and a map literal ``{key: value, ...}``; items are RDF terms in
 Turtle syntax, numbers and booleans in short form, nested lists and maps, or null.
-Functions work on parsed values in Arrow UDFs; results are TERM columns in canonical form.
+Functions on lists of numbers are native array expressions; others work on parsed values in Arrow UDFs.
+Results are TERM columns in canonical form.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable
-from functools import cache
+from functools import cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -339,10 +340,73 @@ FUNCTIONS: dict[str, tuple[Callable, bool]] = {
 }
 
 
+_INT, _NUMBER = r"-?(?:0|[1-9]\d*)", r"-?\d+(?:\.\d+)?(?:E-?\d+)?"
+
+
+def _list_of(item: str, t: Column) -> Column:
+    """Whether a TERM is a list literal in canonical form whose items all match a pattern."""
+    return F.coalesce((t["dt"] == LIST) & t["v"].rlike(rf"^\[(?:{item}(?:, {item})*)?\]$"), F.lit(False))
+
+
+def _items(t: Column) -> Column:
+    """The items' texts of such a list as a native array."""
+    return F.when(t["v"] == "[]", F.array().cast("array<string>")).otherwise(F.split(F.substring(t["v"], F.lit(2), F.length(t["v"]) - 2), ", "))
+
+
+def _integer(t: Column) -> Column:
+    return F.coalesce((t["dt"] == XSD + "integer") & t["v"].rlike(f"^{_INT}$") & (F.length(t["v"]) < 10), F.lit(False))
+
+
+def _number(text: Column) -> Column:
+    dt = F.when(F.contains(text, F.lit("E")), XSD + "double").when(F.contains(text, F.lit(".")), XSD + "decimal").otherwise(XSD + "integer")
+    return F.when(text.isNotNull(), R.struct(R.LITERAL, text, dt))
+
+
+def _as_list(items: Column) -> Column:
+    return R.struct(R.LITERAL, F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]")), F.lit(LIST))
+
+
+def _native(name: str, args: list[Column]) -> tuple[Column, Column] | None:
+    """Where a function needs no Python (its lists hold numbers), and what it gives there; NULL is an error."""
+    numbers = lambda *ts: reduce(lambda a, b: a & b, [_list_of(_NUMBER, t) for t in ts])
+    whole = lambda t: t["v"].cast("int")
+    truth = lambda c: R.struct(R.LITERAL, c.cast("string"), F.lit(XSD + "boolean"))
+    match name, args:
+        case "size" | "listSize", [a]:
+            return numbers(a), _number(F.size(_items(a)).cast("string"))
+        case "get" | "listGet", [a, i]:
+            return numbers(a) & _integer(i), F.when(whole(i) >= 1, _number(F.get(_items(a), whole(i) - 1)))
+        case "head", [a]:
+            return numbers(a), _number(F.get(_items(a), F.lit(0)))
+        case "tail", [a]:
+            return numbers(a), F.when(F.size(_items(a)) > 0, _as_list(F.slice(_items(a), F.lit(2), F.greatest(F.size(_items(a)) - 1, F.lit(0)))))
+        case "reverse", [a]:
+            return numbers(a), _as_list(F.reverse(_items(a)))
+        case "concat", [_, *_]:
+            return numbers(*args), _as_list(F.concat(*map(_items, args)))
+        case "subseq", [a, i, *n]:
+            size = F.size(_items(a))
+            count = whole(n[0]) if n else size - whole(i) + 1
+            fits = (whole(i) >= 1) & (count >= 0) & (whole(i) + count <= size + 1)
+            return numbers(a) & _integer(i) & (_integer(n[0]) if n else F.lit(True)), F.when(fits, _as_list(F.slice(_items(a), F.greatest(whole(i), F.lit(1)), F.greatest(count, F.lit(0)))))
+        case "contains" | "containsTerm", [a, t]:
+            return _list_of(_INT, a) & _integer(t), truth(F.array_contains(_items(a), t["v"]))
+        case "sequence", [*ends]:
+            start, end = (F.lit(1), whole(ends[0])) if len(ends) == 1 else (whole(ends[0]), whole(ends[1]))
+            items = F.when(end < start, F.array().cast("array<string>")).otherwise(F.sequence(start, F.greatest(start, end)).cast("array<string>"))
+            return reduce(lambda a, b: a & b, map(_integer, ends)), _as_list(items)
+    return None
+
+
 def call(name: str, args: list[Column]) -> Column:
-    """A function of TERM columns as a TERM column; an error gives NULL."""
-    got = _udf(name, len(args))(*[F.to_json(a) for a in args]) if args else _udf(name, 0)(F.lit("null"))
-    return F.when(got["k"].isNotNull(), got)
+    """A function of TERM columns as a TERM column; an error gives NULL. Lists of numbers stay native, other rows go through Arrow."""
+    found = _native(name, args)
+    if found is None:
+        got = _udf(name, len(args))(*[F.to_json(a) for a in args]) if args else _udf(name, 0)(F.lit("null"))
+        return F.when(got["k"].isNotNull(), got)
+    native, value = found
+    got = _udf(name, len(args))(*[F.to_json(F.when(~native, a)) for a in args])
+    return F.when(native, value).when(got["k"].isNotNull(), got)
 
 
 def _term(x: object) -> R.Term | None:
