@@ -23,10 +23,15 @@ from tessera.operators import relation as rel
 from tessera.operators.paths import Paths
 from tessera.operators.relation import Bound, Relation, new_name
 from tessera.plans import algebra as A
+from tessera.shared import cut
 from tessera.sources.mapped import TYPE, TableMap
 from tessera.terms import Triple, Var
 
 
+#: Solutions up to which HINT broadcast is obeyed.
+BROADCAST_ROWS = 1_000_000
+
+
 def list_literal(array: Column) -> Column:
     """A native array of numbers or strings as a list literal."""
     item = F.transform(array.cast("array<string>"), lambda x: F.coalesce(x, F.lit("null")))
@@ -96,7 +101,8 @@ class Compiler:
                 return self.seeded(self.slice(self.compile(c, graph), offset, limit), seed)
             case A.Hint(c, name):
                 r = self.compile(c, graph, seed)
-                return Relation(r.df.hint(name), r.vars) if name.lower() in ("broadcast", "merge", "shuffle_hash") else r
+                known = name.lower() in ("merge", "shuffle_hash") or (name.lower() == "broadcast" and r.df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS)
+                return Relation(r.df.hint(name), r.vars) if known else r
             case A.Query():
                 return self.compile(n.child, graph, seed)
         raise UnsupportedError(f"no compilation of {type(n).__name__}")
@@ -409,11 +415,26 @@ class Compiler:
         return out
 
     def rank(self, r: Relation, keys: list[str], aggregates: tuple, ex: Expressions) -> Relation:
-        """Every row, with its place (from 0) in its group's order."""
+        """Every row, with its place (from 0) in its group's order.
+
+        Rows are dealt into ranges of group and order; a row's place is its place in its part of the group plus the
+        sizes of the parts before, so a group is the work of as many tasks as it has ranges.
+        """
         for v, a in aggregates:
-            order = [o for e, up in a.order for o in self.ordering(ex.value(e), up)]
-            w = Window.partitionBy(*[r.vars[k].name for k in keys]).orderBy(*order)
-            r = r.with_var(v, Val("int", (F.row_number().over(w) - 1).cast("bigint")), maybe=False)
+            groups = [r.vars[k].name for k in keys]
+            part, start, nth = new_name(), new_name(), new_name()
+            sorts = [(new_name(), c, up) for e, up in a.order for c in sort_keys(ex.value(e), self.data.star and self.data.quads is not None)]
+            order = {n: c for n, c, _ in sorts}
+            by = [F.col(n).asc_nulls_first() if up else F.col(n).desc_nulls_last() for n, _, up in sorts]
+            # materialised, since the ranges come from a sample
+            dealt = cut(r.df.withColumns(order).repartitionByRange(*groups, *by).withColumn(part, F.spark_partition_id()))
+            sizes = dealt.groupBy(part, *groups).agg(F.count(F.lit(1)).alias(nth))
+            before = Window.partitionBy(*groups).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+            sizes = sizes.select(F.col(part).alias(f"{part}_"), *[F.col(g).alias(f"{g}_") for g in groups], F.coalesce(F.sum(nth).over(before), F.lit(0)).alias(start))
+            same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in (part, *groups)])
+            within = Window.partitionBy(part, *groups).orderBy(*by)
+            placed = dealt.withColumn(nth, F.row_number().over(within) - 1).join(sizes, same)
+            r = Relation(placed, r.vars).with_var(v, Val("int", (F.col(start) + F.col(nth)).cast("bigint")), maybe=False)
         return r
 
     def project(self, r: Relation, names: list[str]) -> Relation:
