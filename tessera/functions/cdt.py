@@ -391,7 +391,7 @@ def _native(name: str, args: list[Column]) -> tuple[Column, Column] | None:
             return numbers(a) & _integer(i) & (_integer(n[0]) if n else F.lit(True)), F.when(fits, _as_list(F.slice(_items(a), F.greatest(whole(i), F.lit(1)), F.greatest(count, F.lit(0)))))
         case "contains" | "containsTerm", [a, t]:
             return _list_of(_INT, a) & _integer(t), truth(F.array_contains(_items(a), t["v"]))
-        case "sequence", [*ends]:
+        case "sequence", ([_] | [_, _]) as ends:
             start, end = (F.lit(1), whole(ends[0])) if len(ends) == 1 else (whole(ends[0]), whole(ends[1]))
             items = F.when(end < start, F.array().cast("array<string>")).otherwise(F.sequence(start, F.greatest(start, end)).cast("array<string>"))
             return reduce(lambda a, b: a & b, map(_integer, ends)), _as_list(items)
@@ -399,21 +399,27 @@ def _native(name: str, args: list[Column]) -> tuple[Column, Column] | None:
 
 
 def call(name: str, args: list[Column]) -> Column:
-    """A function of TERM columns as a TERM column; an error gives NULL. Lists of numbers stay native, other rows go through Arrow."""
-    found = _native(name, args)
-    if found is None:
-        got = _udf(name, len(args))(*[F.to_json(a) for a in args]) if args else _udf(name, 0)(F.lit("null"))
-        return F.when(got["k"].isNotNull(), got)
-    native, value = found
-    got = _udf(name, len(args))(*[F.to_json(F.when(~native, a)) for a in args])
-    return F.when(native, value).when(got["k"].isNotNull(), got)
-
-
-def _term(x: object) -> R.Term | None:
-    if not isinstance(x, str):
-        return None
-    d = json.loads(x)
-    return None if d is None else R.from_row({k: d.get(k) for k in ("k", "v", "dt", "lang")})
+    """A function of TERM columns as a TERM column; an error gives NULL. Lists of numbers stay native, other rows go through Arrow.
+
+    Arguments are named once, by one-element arrays, so that nested calls don't multiply their expressions.
+    """
+    packed = F.struct(*[a.alias(f"a{i}") for i, a in enumerate(args)] or [F.lit(0).alias("none")])
+
+    def native(s: Column) -> Column:
+        fits, value = _native(name, [s[f"a{i}"] for i in range(len(args))])
+        return F.when(fits, value)
+
+    if _native(name, [F.col("x")] * len(args)) is None:
+        found, rest = None, packed
+    else:
+        found = F.get(F.transform(F.array(packed), native), F.lit(0))
+        rest = F.when(found.isNull(), packed)
+    parsed = F.get(F.filter(F.array(_udf(name, len(args))(F.to_json(rest))), lambda x: x["k"].isNotNull()), F.lit(0))
+    return parsed if found is None else F.coalesce(found, parsed)
+
+
+def _term(d: dict | None) -> R.Term | None:
+    return None if d is None or d.get("k") is None else R.from_row({k: d.get(k) for k in ("k", "v", "dt", "lang")})
 
 
 @cache
@@ -421,12 +427,13 @@ def _udf(name: str, n: int):
     f, nulls = FUNCTIONS[name]
 
     @F.pandas_udf(R.TERM)
-    def run(*columns: pd.Series) -> pd.DataFrame:
+    def run(texts: pd.Series) -> pd.DataFrame:
         rows = []
-        for texts in zip(*columns, strict=True):
-            args = [_term(x) for x in texts][:n]
+        for text in texts:
+            given = json.loads(text) if isinstance(text, str) else None
+            args = [_term(given.get(f"a{i}")) for i in range(n)] if given is not None else None
             try:
-                got = None if not nulls and any(a is None for a in args) else f(*args)
+                got = None if args is None or (not nulls and any(a is None for a in args)) else f(*args)
                 rows.append(R.row(literal(got)) if got is not None else (None,) * 4)
             except (CdtError, TypeError, ValueError):
                 rows.append((None,) * 4)
