@@ -40,13 +40,45 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_WRITTEN: list[str] = []
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared checkpoint folder, which ``clean`` deletes."""
+    _WRITTEN.append(f"{checkpoint_dir(spark)}/tessera-{uuid.uuid4().hex}")
+    return _WRITTEN[-1]
+
+
 def written(df: DataFrame) -> DataFrame:
     """Materialise ``df`` as Parquet in the shared checkpoint folder (smaller than a checkpoint)."""
-    path = f"{checkpoint_dir(df.sparkSession)}/tessera-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def clean(spark: SparkSession) -> int:
+    """Delete the tables this process wrote on the way; call it once the results that read them are saved.
+
+    Checkpoints are deleted by Spark itself where spark.cleaner.referenceTracking.cleanCheckpoints is set.
+    """
+    files = spark._jvm.org.apache.hadoop.fs
+    for path in _WRITTEN:
+        where = files.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    gone = len(_WRITTEN)
+    _WRITTEN.clear()
+    return gone
+
+
+#: Narrow rows that are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(rows: DataFrame) -> DataFrame:
+    """A broadcast of narrow rows where their counted number allows it."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that ``df`` does not have (compared without case, as Spark does)."""
     taken = {c.lower() for c in df.columns}

@@ -5,15 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, md5_unit
+from tessera.llm.common import cut, md5_unit, small
 
 FOLDS = 5
 #: Text bytes of a sample over all labels; many labels share it, so each still has some.
 MOST_BYTES = 64_000_000
 #: Rows of a label that are ranked: so many times those wanted, and so many more; fewer than wanted never come.
 SPARE, LEAST_RANKED = 4, 100
-#: Sampled ids that are broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
 
 
 def remainder(key: str = "doc_id") -> Column:
@@ -42,22 +40,17 @@ def sample(rows: DataFrame, docs: DataFrame, label: str, per_label: int, max_byt
     known = learnable(rows, label).withColumn("u", md5_unit("sample", F.col("doc_id").cast("string")))
     # by the labels' counts, far more than the first rows of each pass; so a label's task sees few, however many there are
     counts = cut(known.groupBy(F.col(label).alias("of")).count())
-    known = known.join(_small(counts), F.col(label) == F.col("of")).where(F.col("u") * F.col("count") <= SPARE * per_label + LEAST_RANKED)
+    known = known.join(small(counts), F.col(label) == F.col("of")).where(F.col("u") * F.col("count") <= SPARE * per_label + LEAST_RANKED)
     nth = F.dense_rank().over(Window.partitionBy(label).orderBy("u", "doc_id"))
     first = cut(known.withColumn("nth", nth).where(F.col("nth") <= per_label).select("doc_id", label, "nth").distinct())
     labels = first.select(label).distinct().count()
     ids = first.select(F.col("doc_id").alias("id")).distinct()
     texts = docs.where(F.col("text").isNotNull())
-    of = texts.join(_small(ids), F.col("doc_id") == F.col("id")).groupBy("id").agg(F.max(F.struct(F.octet_length("text").alias("n"), F.xxhash64("text").alias("h"))).alias("t"))
+    of = texts.join(small(ids), F.col("doc_id") == F.col("id")).groupBy("id").agg(F.max(F.struct(F.octet_length("text").alias("n"), F.xxhash64("text").alias("h"))).alias("t"))
     upto = F.sum("t.n").over(Window.partitionBy(label).orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     least = F.min("nth").over(Window.partitionBy(label))
     most = min(max_bytes, MOST_BYTES // max(1, labels))
     sized = first.join(of, F.col("doc_id") == F.col("id")).withColumns({"upto": upto, "least": least})
     picked = cut(sized.where((F.col("upto") <= most) | (F.col("nth") == F.col("least"))).select("id", F.col("t.h").alias("h"), F.col(label).alias("value")))
-    found = texts.join(_small(picked), (F.col("doc_id") == F.col("id")) & (F.xxhash64("text") == F.col("h"))).select("value", "id", "text")
+    found = texts.join(small(picked), (F.col("doc_id") == F.col("id")) & (F.xxhash64("text") == F.col("h"))).select("value", "id", "text")
     return [(value, text) for value, _, text in sorted({tuple(r) for r in found.collect()})]
-
-
-def _small(rows: DataFrame) -> DataFrame:
-    """A broadcast of rows of few bytes where their counted number allows it."""
-    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows

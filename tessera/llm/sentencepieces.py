@@ -32,7 +32,7 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARKER = "▁"
 UNKNOWN_COST = 10.0
 #: Characters of the words a worker remembers; beyond them it starts afresh.
-CACHE_CHARS = 2_000_000
+CACHE_CHARS = 1_000_000
 #: Longer words (characters) are searched one by one, shorter ones all at once.
 LONG_WORD = 64
 #: Longer texts (characters) are cut into words a part at a time.

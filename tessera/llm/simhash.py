@@ -22,17 +22,17 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, fresh, slices, written
+from tessera.llm.common import cut, fresh, slices, small, written
 
 SEED = 42
 BITS = 64
 #: Fingerprints a bucket may have before it is split.
 CAP = 2048
-#: Shares a node's neighbours are dealt into.
-SALTS = 8
+#: Neighbours that make a node a hub, and the shares they are dealt into.
+HUB, SALTS = 1000, 16
 #: Min-wise views of near_duplicates(): VIEWS keys of ROWS minima each.
 VIEWS, ROWS = 48, 6
 #: Shingle hashes of one candidate cluster that a worker holds in memory; more go to a file.
@@ -123,7 +123,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], groups: Callable[[np.ndarray], l
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (columns a, b); root is the component's smallest node.
 
-    A node with very many neighbours meets its minimum under ``SALTS`` salts.
+    The neighbours of a node with more than ``HUB`` of them meet its minimum under ``SALTS`` salts.
     """
     def settle(e: DataFrame) -> tuple[DataFrame, tuple]:
         e = cut(e.where("a <> b").distinct())
@@ -132,13 +132,19 @@ def components(edges: DataFrame) -> DataFrame:
     now, mark = settle(edges)
     while mark[0]:
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m")).select("n", F.least("n", "m").alias("m"))
-        every = least.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        ahead = both.where("b > a").withColumn("s", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+        least = both.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m"), F.count("*").alias("c"))
+        least = cut(least.select("n", F.least("n", "m").alias("m"), "c"))
+        hubs = least.where(F.col("c") > HUB).select(F.col("n").alias("hub"))
+        ahead, salts = both.where("b > a").withColumn("s", F.lit(0)), F.array(F.lit(0))
+        if hubs.limit(1).count():
+            dealt = F.when(F.col("hub").isNotNull(), F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).otherwise(0)
+            ahead = ahead.join(small(hubs), F.col("a") == F.col("hub"), "left").withColumn("s", dealt)
+            salts = F.when(F.col("c") > HUB, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(salts)
+        every = least.withColumn("t", F.explode(salts))
         large, _ = settle(ahead.join(every, (F.col("a") == F.col("n")) & (F.col("s") == F.col("t"))).select(F.col("b").alias("a"), F.col("m").alias("b")))
         least = large.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m"))
-        small = large.join(least, F.col("a") == F.col("n")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now, new = settle(small.union(least.select(F.col("n").alias("a"), F.col("m").alias("b"))))
+        rest = large.join(least, F.col("a") == F.col("n")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        now, new = settle(rest.union(least.select(F.col("n").alias("a"), F.col("m").alias("b"))))
         if new == mark:
             break
         mark = new
@@ -342,20 +348,23 @@ def deduplicate(docs: DataFrame, radius: int = 3, shingle: int = 5, key: str = "
     distinct = written(sketches.groupBy("node", "views").agg(F.min("fp").alias("fp"), F.min(F.struct(F.col("doc.id").isNull(), "doc.id", "doc.h")).alias("least")))
     near = _edges(distinct.select("fp").distinct(), radius)
     hub = lambda fp, root: distinct.groupBy(F.col("fp").alias(fp)).agg(F.min("node").alias(root))
-    # candidates: same fingerprint, linked fingerprints, same view
-    same_fp = distinct.select("fp", "node").join(hub("fp0", "b"), F.col("fp") == F.col("fp0")).select(F.col("node").alias("a"), "b")
+    # candidates: same fingerprint, linked fingerprints, same view; a bucket is a star around its smallest node
+    star = lambda rows, key: rows.select(F.col("node").alias("a"), F.min("node").over(Window.partitionBy(key)).alias("b")).where("a <> b")
     fp_edges = near.select(F.col("a").alias("x"), F.col("b").alias("y")).join(hub("fp1", "a"), F.col("x") == F.col("fp1")).join(hub("fp2", "b"), F.col("y") == F.col("fp2")).select("a", "b")
-    seen = distinct.select("node", F.posexplode("views").alias("v", "k"))
-    # a view's bucket is a star around its smallest node; the minimum is pre-aggregated
-    hubs = seen.groupBy(F.col("v").alias("v1"), F.col("k").alias("k1")).agg(F.min("node").alias("b"), F.max("node").alias("far")).where("b <> far").drop("far")
-    view_edges = seen.join(hubs, (F.col("v") == F.col("v1")) & (F.col("k") == F.col("k1"))).select(F.col("node").alias("a"), "b")
-    clusters = components(reduce(DataFrame.union, [same_fp, fp_edges, view_edges])).withColumnRenamed("root", "cluster")
+    seen = distinct.select("node", F.posexplode("views").alias("v", "k")).select("node", F.xxhash64("v", "k").alias("view"))
+    clusters = components(reduce(DataFrame.union, [star(distinct, "fp"), fp_edges, star(seen, "view")])).withColumnRenamed("root", "cluster")
     # links: the shingle sets of each cluster, from one text a node
     members = distinct.select(F.col("node").alias("own"), F.col("least.id").alias("id"), F.col("least.h").alias("h")).join(clusters, F.col("own") == F.col("node")).select("id", "h", "cluster", "node")
-    sets = slim.join(members, (F.col("doc.h") == F.col("h")) & F.col("doc.id").eqNullSafe(F.col("id"))).select("cluster", "node", "text")
+    sets = slim.join(small(cut(members)), (F.col("doc.h") == F.col("h")) & F.col("doc.id").eqNullSafe(F.col("id"))).select("cluster", "node", "text")
     sets = sets.mapInArrow(_shingle_sets(shingle), "cluster long, node long, shingles array<long>")
     roots = components(sets.repartition("cluster").sortWithinPartitions("cluster", "node").mapInArrow(_verified, "a long, b long"))
     linked = distinct.select(F.col("node").alias("own"), "least").join(roots, F.col("own") == F.col("node"), "left").select("least", F.coalesce("root", "own").alias("root"))
     kept = linked.groupBy("root").agg(F.min("least").alias("m")).select(F.col("m.id").alias("kept_id"), F.col("m.h").alias("kept_hash"))
-    out = hashed.join(kept, (hashed[row] == kept.kept_hash) & hashed[key].cast("long").eqNullSafe(kept.kept_id), "left_semi")
-    return out.dropDuplicates([row]).select(*docs.columns)
+    # by id and row hash: the rows that go, and of those that stay the repeated ones; the texts of all others cross no shuffle
+    rows = sketches.groupBy("doc").count().select(F.col("doc.id").alias("id"), F.col("doc.h").alias("h"), "count")
+    gone = small(cut(rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("h") == F.col("kept_hash")), "left_anti").select("id", "h")))
+    repeated = small(cut(rows.where("count > 1").select("id", "h")))
+    same = lambda df, other: (df[row] == other["h"]) & df[key].cast("long").eqNullSafe(other["id"])
+    out = hashed.join(gone, same(hashed, gone), "left_anti")
+    twice = out.join(repeated, same(out, repeated), "left_semi").dropDuplicates([row])
+    return out.join(repeated, same(out, repeated), "left_anti").union(twice).select(*docs.columns)

@@ -15,7 +15,6 @@ candidates past the block and emits k rows a query.
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +23,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpoint_dir, written
+from tessera.llm.common import scratch, written
 
 QUERY_BLOCK, QUERY_BYTES = 32_768, 64_000_000
 #: Queries and candidates multiplied at once.
@@ -165,7 +164,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     blocks = max(1, math.ceil(counted["n"] / QUERY_BLOCK), math.ceil(8 * (counted["x"] or 0) / QUERY_BYTES))
     block_of = F.pmod(F.xxhash64("vec_id"), F.lit(blocks))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    path, out = f"{checkpoint_dir(spark)}/tessera-{uuid.uuid4().hex}", None
+    path, out = scratch(spark), None
     if blocks > 1:
         vectors, queries = written(vectors), written(queries)
     for i in range(blocks):

@@ -40,7 +40,7 @@ LANE = 128
 DIMS = 1 << 18
 PENALTY = 0.02
 #: Characters of the words a worker keeps the weights of; beyond them it starts afresh.
-CACHE_CHARS = 2_000_000
+CACHE_CHARS = 1_000_000
 #: Tokens scored at once.
 BLOCK = 1 << 16
 #: Beginnings of a word that are features (bytes), besides the whole of it.

@@ -134,6 +134,16 @@ def test_a_document_with_many_copies(spark):
     assert abs(len(out) - 10_000) < 600 and sorted(r.copy for r in out) == list(range(out[0].copies))
 
 
+def test_written_tables_can_be_deleted(spark):
+    from tessera.llm.common import clean, written
+
+    clean(spark)
+    table = written(spark.range(5))
+    assert table.count() == 5 and clean(spark) == 1 and clean(spark) == 0
+    with pytest.raises(Exception):  # noqa: B017
+        spark.read.parquet(table.inputFiles()[0])
+
+
 def test_poisson_is_inverted(spark):
     means = [0.3, 2.0, 700.0]
     for mean in means:

@@ -68,8 +68,9 @@ def texts():
 def test_groups(spark, monkeypatch):
     rows = texts()
     df = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, fp int")
-    for cap in (2048, 4):  # the second splits buckets
+    for cap, hub in ((2048, 1000), (4, 2)):  # the second splits buckets and salts hubs
         monkeypatch.setattr(simhash, "CAP", cap)
+        monkeypatch.setattr(simhash, "HUB", hub)
         got = sorted((r.doc_id if r.doc_id is not None else -1, r.fingerprint, r.component_id) for r in simhash.group(df).collect())
         assert got == brute_groups(rows)
     assert simhash.group(df.limit(0)).count() == 0
@@ -89,7 +90,7 @@ def test_deduplicate_keeps_one_of_each_group(spark):
             near.append((g * 10 + 1 + c, " ".join(words)))
     clean = [(1000 + i, " ".join(word() for _ in range(150))) for i in range(40)]
     all_rows = rows + near + clean + [clean[0], (2000, None), (2001, "")]
-    df = spark.createDataFrame([(d, t, "c") for d, t in all_rows], "doc_id long, text string, row_hash string")
+    df = spark.createDataFrame([(d, t, "c", 1, 2) for d, t in all_rows], "doc_id long, text string, row_hash string, h int, id int")
     out = simhash.deduplicate(df)
     assert out.columns == df.columns
     kept = [r.doc_id for r in out.collect()]
