@@ -40,6 +40,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_few(df: DataFrame, rows: int) -> DataFrame:
+    """``cut`` for at most ``rows`` narrow rows, in files of about 100,000 (8 files at least, never more than there are)."""
+    return cut(df.coalesce(max(8, -(-rows // 100_000))))
+
+
 _WRITTEN: list[str] = []
 
 

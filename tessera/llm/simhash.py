@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, fresh, slices, small, written
+from tessera.llm.common import cut, cut_few, fresh, slices, small, written
 
 SEED = 42
 BITS = 64
@@ -125,15 +125,18 @@ def components(edges: DataFrame) -> DataFrame:
 
     The neighbours of a node with more than ``HUB`` of them meet its minimum under ``SALTS`` salts.
     """
-    def settle(e: DataFrame) -> tuple[DataFrame, tuple]:
-        e = cut(e.where("a <> b").distinct())
+
+    def settle(e: DataFrame, most: int | None = None) -> tuple[DataFrame, tuple]:
+        e = e.where("a <> b").distinct()
+        e = cut(e) if most is None else cut_few(e, most)
         return e, tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
     now, mark = settle(edges)
     while mark[0]:
+        most = 2 * mark[0]  # no step makes more edges, or has more nodes
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m"), F.count("*").alias("c"))
-        least = cut(least.select("n", F.least("n", "m").alias("m"), "c"))
+        least = cut_few(least.select("n", F.least("n", "m").alias("m"), "c"), most)
         hubs = least.where(F.col("c") > HUB).select(F.col("n").alias("hub"))
         ahead, salts = both.where("b > a").withColumn("s", F.lit(0)), F.array(F.lit(0))
         if hubs.limit(1).count():
@@ -141,10 +144,10 @@ def components(edges: DataFrame) -> DataFrame:
             ahead = ahead.join(small(hubs), F.col("a") == F.col("hub"), "left").withColumn("s", dealt)
             salts = F.when(F.col("c") > HUB, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(salts)
         every = least.withColumn("t", F.explode(salts))
-        large, _ = settle(ahead.join(every, (F.col("a") == F.col("n")) & (F.col("s") == F.col("t"))).select(F.col("b").alias("a"), F.col("m").alias("b")))
+        large, _ = settle(ahead.join(every, (F.col("a") == F.col("n")) & (F.col("s") == F.col("t"))).select(F.col("b").alias("a"), F.col("m").alias("b")), most)
         least = large.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m"))
         rest = large.join(least, F.col("a") == F.col("n")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now, new = settle(rest.union(least.select(F.col("n").alias("a"), F.col("m").alias("b"))))
+        now, new = settle(rest.union(least.select(F.col("n").alias("a"), F.col("m").alias("b"))), most)
         if new == mark:
             break
         mark = new
@@ -344,6 +347,7 @@ def deduplicate(docs: DataFrame, radius: int = 3, shingle: int = 5, key: str = "
     hashed = docs.withColumn(row, F.xxhash64(*[F.col(c) for c in docs.columns]))
     slim = hashed.select(F.struct(F.col(key).cast("long").alias("id"), F.col(row).alias("h")).alias("doc"), F.col(text).alias("text"))
     sketches = written(slim.mapInArrow(_fingerprints(shingle, True), "doc struct<id:long,h:long>, fp long, node long, views array<long>"))
+    count = sketches.count()
     # equal shingle sets are one node
     distinct = written(sketches.groupBy("node", "views").agg(F.min("fp").alias("fp"), F.min(F.struct(F.col("doc.id").isNull(), "doc.id", "doc.h")).alias("least")))
     near = _edges(distinct.select("fp").distinct(), radius)
@@ -355,15 +359,15 @@ def deduplicate(docs: DataFrame, radius: int = 3, shingle: int = 5, key: str = "
     clusters = components(reduce(DataFrame.union, [star(distinct, "fp"), fp_edges, star(seen, "view")])).withColumnRenamed("root", "cluster")
     # links: the shingle sets of each cluster, from one text a node
     members = distinct.select(F.col("node").alias("own"), F.col("least.id").alias("id"), F.col("least.h").alias("h")).join(clusters, F.col("own") == F.col("node")).select("id", "h", "cluster", "node")
-    sets = slim.join(small(cut(members)), (F.col("doc.h") == F.col("h")) & F.col("doc.id").eqNullSafe(F.col("id"))).select("cluster", "node", "text")
+    sets = slim.join(small(cut_few(members, count)), (F.col("doc.h") == F.col("h")) & F.col("doc.id").eqNullSafe(F.col("id"))).select("cluster", "node", "text")
     sets = sets.mapInArrow(_shingle_sets(shingle), "cluster long, node long, shingles array<long>")
     roots = components(sets.repartition("cluster").sortWithinPartitions("cluster", "node").mapInArrow(_verified, "a long, b long"))
     linked = distinct.select(F.col("node").alias("own"), "least").join(roots, F.col("own") == F.col("node"), "left").select("least", F.coalesce("root", "own").alias("root"))
     kept = linked.groupBy("root").agg(F.min("least").alias("m")).select(F.col("m.id").alias("kept_id"), F.col("m.h").alias("kept_hash"))
     # by id and row hash: the rows that go, and of those that stay the repeated ones; the texts of all others cross no shuffle
     rows = sketches.groupBy("doc").count().select(F.col("doc.id").alias("id"), F.col("doc.h").alias("h"), "count")
-    gone = small(cut(rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("h") == F.col("kept_hash")), "left_anti").select("id", "h")))
-    repeated = small(cut(rows.where("count > 1").select("id", "h")))
+    gone = small(cut_few(rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("h") == F.col("kept_hash")), "left_anti").select("id", "h"), count))
+    repeated = small(cut_few(rows.where("count > 1").select("id", "h"), count))
     same = lambda df, other: (df[row] == other["h"]) & df[key].cast("long").eqNullSafe(other["id"])
     out = hashed.join(gone, same(hashed, gone), "left_anti")
     twice = out.join(repeated, same(out, repeated), "left_semi").dropDuplicates([row])
